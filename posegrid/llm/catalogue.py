@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import harmonic, sst
+from . import bayeslsh, harmonic, interleave, outliers, sst
 from .common import table
 from .tokens import vocabulary
 
@@ -15,10 +15,22 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.read_token_shards(sst.write_token_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
 
 
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_bayes_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayeslsh.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.interleave(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
