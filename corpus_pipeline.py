@@ -1,22 +1,59 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: quality classifier, quality rules, near-dedup, mixing and packing of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from posegrid.llm import harmonic
+from posegrid.llm import bayeslsh, factor, harmonic, outliers, raking
 from posegrid.llm.common import settle, table
 from posegrid.llm.tokens import vocabulary
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.7 or more."""
+    machine = factor.learn(docs, table(spark, sf_dir, "labels"))
+    scored = factor.score(docs.select(F.struct("*").alias("doc"), "doc_id", "text"), machine, keep=("doc",))
+    return scored.where("predicted = 1").select("doc.*")
+
+
+def _key() -> list:
+    """What tells rows apart, null-safe: the id and a digest of the text."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key_id"), F.xxhash64("text").alias("key_text")]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    judged = outliers.judge(docs, keep=_key())
+    rejected = judged.where("NOT kept").select("key_id", "key_text").distinct()
+    return docs.select(F.struct("*").alias("doc"), *_key()).join(rejected, ["key_id", "key_text"], "left_anti").select("doc.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id."""
+    copies = bayeslsh.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the raked shares of source, language and topic."""
+    return raking.sample(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 ids."""
     return harmonic.pack(docs, vocabulary())
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-#: The tokenizer is not SQL; the tests hold run() against brute force.
+#: The classifier and the tokenizer are not SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -32,12 +32,12 @@ SCALE, RIDGE, LEAST_ROWS, STEPS, KEEP, CONSISTENCY, CUTOFF = 64, (6.0, 16.0, 12.
 D = len(VECTOR)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of every whole text; ``docs`` may carry lang and source, which stay."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """Counts of every whole text, beside its language, source and the columns ``keep``."""
+    rows = docs.select(F.struct(F.lit(0), *keep).alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     word = F.filter(F.split("text", SPACES + "+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = rows.select("doc_id", "lang", "source", "text", word.alias("words"), lines.alias("lines"))
+    rows = rows.select("own", "doc_id", "lang", "source", "text", word.alias("words"), lines.alias("lines"))
     # A window is known by a hash of its words' hashes; sorted (hash, place) pairs put equal windows side by side.
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     windows = F.array_sort(F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - 2, F.lit(0))), lambda h, i: F.struct(F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)).alias("h"), i.alias("i"))))
@@ -47,7 +47,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     covered = F.aggregate(F.transform("spots", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("spots", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     count = lambda what: F.length(F.regexp_replace("text", f"[^{what}]+", "")).cast("long")
     return rows.select(
-        "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), count("#*$%&|<>").alias("n_symbols"),
+        "own", "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), count("#*$%&|<>").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
         count("!?.,;:").alias("n_marks"), count("A-ZÀ-ÖØ-Þ").alias("n_capitals"), F.size("lines").cast("long").alias("n_lines"),
     )
@@ -98,9 +98,9 @@ def _staged(df: DataFrame, stages: list[list[str]]) -> DataFrame:
     return df
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the statistics, base_failed, kept, d2 (squared distance; null where the base rules failed)."""
-    stats = settle(statistics(docs, id_col, text_col).selectExpr("*", f"{BASE_FAILED} AS base_failed"), "statistics")
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, keep: list | tuple = ()) -> DataFrame:
+    """``keep``, doc_id, the statistics, base_failed, kept, d2 (squared distance; null where the base rules failed)."""
+    stats = settle(statistics(docs, id_col, text_col, tuple(keep)).selectExpr("*", f"{BASE_FAILED} AS base_failed"), "statistics")
     good = stats.where("NOT base_failed").selectExpr("*", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source", *vector_columns())
     counts = good.groupBy("of_lang", "of_source").agg(F.count("*").alias("n"))
     small = counts.where(f"n < {LEAST_ROWS}").groupBy("of_lang").agg(F.sum("n").alias("of_pool"))
@@ -121,4 +121,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
     judged = stats.selectExpr("*", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source", *[f"CASE WHEN NOT base_failed THEN {c.rpartition(' AS ')[0]} END AS z{i}" for i, c in enumerate(vector_columns())])
     judged = judged.join(groups, ["of_lang", "of_source"], "left").join(model, "g", "left")
     d2 = _staged(judged, distance_stages())
-    return d2.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"NOT base_failed AND d2 <= {cutoff!r}e0 AS kept", "d2")
+    names = [f"own.{x}" for x in stats.select("own.*").columns[1:]]
+    return d2.selectExpr(*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"NOT base_failed AND d2 <= {cutoff!r}e0 AS kept", "d2")
