@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
 _DOUBLE = re.compile(r"\s\s")
-_MARKS = frozenset(".,;:")
+_MARKS = ".,;:"
 CACHE_WORDS = 900_000
 
 
@@ -33,54 +35,68 @@ class Encoder:
         self.special = sorted(x.content for x in self.library.get_added_tokens_decoder().values())
         self.type = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.type[-1])
+        shape = json.loads(Path(path).read_text())
+        step = shape.get("pre_tokenizer") or {}
+        self.plain = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and not shape.get("normalizer") and shape["model"]["type"] == "BPE"
+        self.shown = _byte_alphabet()
+        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, self.type).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: runs of letters, with their space, go straight to the library's merges."""
+        if not self.plain:
+            return self._ids(words)
+        out, rest = [b""] * len(words), []
+        for i, w in enumerate(words):
+            if (w[1:] if w[:1] == " " else w).isalpha():
+                out[i] = np.array([x.id for x in self.library.model.tokenize(w.encode().decode("latin-1").translate(self.shown))], self.type).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._ids([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def _learn(self, words: set[str], lead: str, known: dict[str, bytes]) -> None:
         """Add ``words`` to ``known``; a mark after letters only is a token run of its own."""
-        parts: dict[str, None] = {}
-        split: list[tuple[str, str, str]] = []
-        for w in words:
-            if w and w[-1] in _MARKS and w[:-1].isalpha():
-                split.append((w, w[:-1], w[-1]))
-                if w[:-1] not in known:
-                    parts[w[:-1]] = None
-            else:
-                parts[w] = None
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        split = [(w, w[:-1], w[-1]) for w in words if w and w[-1] in _MARKS and w[:-1].isalpha()]
+        parts = words.difference(w for w, _, _ in split).union(letters for _, letters, _ in split if letters not in known)
         names = list(parts)
-        known.update(zip(names, self._ids([lead + w for w in names])))
-        marks = {m: b for m, b in zip(_MARKS, self._ids(list(_MARKS)))} if split else {}
-        for w, letters, mark in split:
-            known[w] = known[letters] + marks[mark]
+        known.update(zip(names, self._words([lead + w for w in names])))
+        known.update((w, known[letters] + self.marks[mark]) for w, letters, mark in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
         whole = [bool(_DOUBLE.search(t)) or any(s in t for s in self.special) for t in texts]
         split = [[] if w else t.split(" ") for t, w in zip(texts, whole)]
-        first, later = set(), set()
-        for words in split:
-            if words:
-                first.add(words[0])
-                later.update(words[1:])
-        self._missing(first, "", self.first)
-        self._missing(later, " ", self.later)
-        get = self.later.__getitem__
-        out = [self.first[w[0]] + b"".join(map(get, w[1:])) if w else b"" for w in split]
+        first = {w[0] for w in split if w}.difference(self.first)
+        if first:
+            self._learn(first, "", self.first)
+        get = self.later.get
+        found = [list(map(get, w[1:])) for w in split]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
+        if gaps:
+            self._learn({w for i in gaps for w, ids in zip(split[i][1:], found[i]) if ids is None}, " ", self.later)
+            for i in gaps:
+                found[i] = [get(w) if ids is None else ids for w, ids in zip(split[i][1:], found[i])]
+        out = [self.first[w[0]] + b"".join(ids) if w else b"" for w, ids in zip(split, found)]
         if any(whole):
             at = [i for i, w in enumerate(whole) if w]
             for i, ids in zip(at, self._ids([texts[i] for i in at])):
                 out[i] = ids
         return out
 
-    def _missing(self, words: set[str], lead: str, known: dict[str, bytes]) -> None:
-        if new := words.difference(known):
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = words
-            self._learn(new, lead, known)
+
+def _byte_alphabet() -> dict[int, int]:
+    """The character that shows each byte in byte-level vocabularies: printable ones themselves, the rest from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=2)
