@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+FAMILIES = ("forest", "imaging", "clusters", "history", "skeletons", "streams")
+
+
+def _merged(name: str) -> dict:
+    out: dict = {}
+    for family in FAMILIES:
+        out |= getattr(import_module(f"{__package__}.{family}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _merged("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _merged("ORACLES")

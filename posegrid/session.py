@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -24,3 +25,24 @@ def ship(spark: SparkSession) -> None:
     shutil.make_archive(os.path.join(folder, here.name), "zip", here.parent, here.name)
     context.addPyFile(os.path.join(folder, f"{here.name}.zip"))
     _SENT.add(context.applicationId)
+
+
+_LOCAL: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    if set_by_cluster:
+        return set_by_cluster.rstrip("/")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="posegrid-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return "file://" + _LOCAL[0]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage of an iteration and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
