@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bayeslsh, crossparse, factor, harmonic, iblt, interleave, outliers, raking, sst, urlblock
+from . import bayeslsh, crossparse, factor, harmonic, iblt, interleave, oracles, outliers, raking, sst, urlblock
 from .common import table
 from .tokens import vocabulary
 
@@ -20,7 +21,7 @@ def op2_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outliers.judge(table(spark, sf_dir, "documents"))
+    return outliers.judge(table(spark, sf_dir, "documents")).withColumn("d2", F.round("d2", 6))
 
 
 def op4_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
