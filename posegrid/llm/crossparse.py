@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed into the longest phrases that occur
-in the language's text, each ended by the symbol that breaks the match; the language that needs the fewest phrases a
+in the language's text (a symbol that it lacks is a phrase of its own); the language that needs the fewest phrases a
 symbol wins. Symbols are UTF-8 bytes with letters lower-cased and white space, digits and other ASCII folded
 together. A missing transition ends a phrase and starts at the root with the same symbol, so each automaton is one
 dense table, and many blocks of BLOCK symbols are parsed at once; a phrase never crosses a block.
@@ -106,9 +106,9 @@ def phrases(machine, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     for t, n in enumerate(alive):
         to = table[state[:n] * np.int32(width) + symbols[starts[:n] + t]]
         broke = to < 0
-        count[:n] += broke
+        count[:n] += broke | (state[:n] == 0)  # a phrase begins at a break, and at the root
         state[:n] = np.where(broke, -to - 1, to)
-    return count + (lengths > 0)
+    return count
 
 
 def rates(samples, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
