@@ -22,7 +22,7 @@ from ..session import ship
 def frame_index(spark: SparkSession, top: str, name: str) -> DataFrame:
     """(frame_id, path) of ``index.<name>``, in file order, blank lines dropped."""
     lines = spark.read.option("wholetext", True).text(f"{top}/index.{name}")
-    rows = lines.select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")).alias("frame_id", "path"))
+    rows = lines.select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("frame_id", "path"))
     return rows
 
 
