@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("forest", "imaging", "clusters", "history", "skeletons", "streams")
+FAMILIES = ("forest", "imaging", "clusters", "history", "skeletons", "tracking", "streams")
 
 
 def _merged(name: str) -> dict:
