@@ -31,6 +31,15 @@ def test_ring_edits_and_likeness(docs, rows, nothing):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_many_ranges_give_the_same_rows(spark, docs):
+    want = sorted(map(str, iblt.fingerprints(docs).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "90")
+    try:
+        assert sorted(map(str, iblt.fingerprints(docs).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_equal_texts_have_equal_fingerprints(docs, rows):
     by_text = {}
     for r in iblt.fingerprints(docs).collect():
