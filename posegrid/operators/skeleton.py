@@ -181,3 +181,33 @@ def joint_benchmark(truth: DataFrame, inferred: DataFrame, missing: float = 10.0
 def kinematic_ratio(length: Column, mean: Column) -> Column:
     """Likeness of a length to its running mean, in [0, 1]."""
     return F.least(length, mean) / F.greatest(length, mean)
+
+
+def repaired_rotations(rows: DataFrame, means: DataFrame, radius: float) -> DataFrame:
+    """Bone rotations farther than ``radius`` degrees from the bone's mean take its last one within it."""
+    q = ["qw", "qx", "qy", "qz"]
+    m = F.broadcast(means.select("bone", F.struct(*q).alias("m")))
+    near = F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(dot([F.col(c) for c in q], [F.col(f"m.{c}") for c in q]))))) <= radius
+    live = rows.where("qw is not null").join(m, "bone").withColumn("good", near)
+    w = Window.partitionBy("bone").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("good"), F.struct(*q)), ignorenulls=True).over(w)
+    live = live.withColumn("to", F.when(F.col("good"), F.struct(*q)).otherwise(F.coalesce(last, F.struct(*q))))
+    return live.select("frame_id", "bone", *[F.col(f"to.{c}").alias(c) for c in q], (~F.col("good")).alias("repaired"))
+
+
+def refined(candidates: DataFrame) -> DataFrame:
+    """The candidate of each joint that raises the skeleton's mean reliability most.
+
+    The mean is a sum of terms of single joints, so a swap helps exactly if the joint's own term grows: the best
+    skeleton takes each joint's most reliable candidate, the better ranked one on ties.
+    """
+    return candidates.groupBy("frame_id", "joint").agg(F.max_by(F.struct("place", "reliability"), F.struct(F.round("reliability", 9), -F.col("place"))).alias("b")).select("frame_id", "joint", "b.*")
+
+
+def ring_search(seeds: DataFrame, pixels: DataFrame, rings: int) -> DataFrame:
+    """The body pixel nearest to each seed (frame_id, sx, sy): by square ring, then in scan order."""
+    offsets = [(max(abs(dx), abs(dy)), dx, dy) for dy in range(-rings, rings + 1) for dx in range(-rings, rings + 1)]
+    table = F.array(*[F.struct(F.lit(r).alias("ring"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for r, dx, dy in sorted(offsets)])
+    spots = seeds.select("frame_id", "sx", "sy", F.explode(table).alias("o")).select("frame_id", "sx", "sy", "o.ring", (F.col("sx") + F.col("o.dx")).alias("x"), (F.col("sy") + F.col("o.dy")).alias("y"))
+    found = spots.join(pixels.where("body").select("frame_id", "x", "y", "i"), ["frame_id", "x", "y"])
+    return found.groupBy("frame_id").agg(F.min_by(F.struct("ring", "i"), F.struct("ring", "i")).alias("b")).select("frame_id", "b.*")

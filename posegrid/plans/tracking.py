@@ -106,6 +106,26 @@ def track_frames(spark, sf_dir):
     return api.track(pixels(spark, sf_dir), frames, p, 2.1).select("frame_id", "root", F.round("confidence", 6).alias("confidence"), "cx", "cy", "place")
 
 
+def bone_rotation_repair(spark, sf_dir):
+    rows = skeleton.bones(joints(spark, sf_dir))
+    fixed = skeleton.repaired_rotations(rows, skeleton.mean_rotation(rows, ["bone"]), 90.0)
+    return fixed.select("frame_id", "bone", *[F.round(c, 6).alias(c) for c in ("qw", "qx", "qy", "qz")], "repaired")
+
+
+def skeleton_refine(spark, sf_dir):
+    """Two candidates a joint, the second from the mirrored joint, with a made-up reliability."""
+    j = joints(spark, sf_dir)
+    first = j.select("frame_id", "joint", F.lit(1).alias("place"), F.abs("x").alias("reliability"))
+    second = j.select("frame_id", "joint", F.lit(2).alias("place"), F.abs("y").alias("reliability"))
+    return skeleton.refined(first.unionByName(second)).select("frame_id", "joint", "place", F.round("reliability", 6).alias("reliability"))
+
+
+def previous_joint_search(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    seeds = p.select("frame_id").distinct().select("frame_id", (F.col("frame_id") % 8).alias("sx"), F.expr("frame_id div 8 % 8").alias("sy"))
+    return skeleton.ring_search(seeds, p, 4)
+
+
 def training_history(spark, sf_dir):
     """A run's record appended to the history of its key."""
     by = stream(spark, sf_dir).groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("history"))
@@ -147,7 +167,10 @@ ORACLES = {
     "forest_mean_flip": _flip_sql(),
     "index_to_recording": "SELECT source, doc_id, CAST(k AS INT) AS frame_no, k * 1000000000 // 120 AS timestamp FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents) x",
     "bone_slerp": with_views(_B + f", q AS (SELECT frame_id, bone, {', '.join(_Q)}, {', '.join(f'lead({c}) OVER w AS n{c}' for c in _Q)} FROM bones WHERE qw IS NOT NULL WINDOW w AS (PARTITION BY bone ORDER BY frame_id)), a AS (SELECT *, {_DOT} AS d, acos(least(1e0, abs({_DOT}))) AS angle FROM q WHERE nqw IS NOT NULL), half AS (SELECT *, CASE WHEN sin(angle) < 1e-6 THEN 5e-1 ELSE sin(5e-1 * angle) / sin(angle) END AS s, CASE WHEN d < 0 THEN -1e0 ELSE 1e0 END AS h FROM a) SELECT frame_id, bone, {', '.join(f'round({c} * s + n{c} * s * h, 6) AS {c}' for c in _Q)} FROM half", "joints"),
+    "bone_rotation_repair": with_views(_B + _skeletons._MEAN + f", k AS (SELECT l.frame_id, l.bone, {', '.join('l.' + c for c in _Q)}, degrees(2 * acos(least(1e0, abs({' + '.join(f'l.{c} * m.{c}' for c in _Q)})))) <= 90 AS good FROM live l JOIN m USING (bone)) SELECT frame_id, bone, {', '.join(f'round(CASE WHEN good THEN {c} ELSE coalesce(last_value(CASE WHEN good THEN {c} END IGNORE NULLS) OVER w, {c}) END, 6) AS {c}' for c in _Q)}, NOT good AS repaired FROM k WINDOW w AS (PARTITION BY bone ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "joints"),
+    "skeleton_refine": with_views(" SELECT frame_id, joint, CAST(CASE WHEN round(abs(y), 9) > round(abs(x), 9) THEN 2 ELSE 1 END AS INT) AS place, round(CASE WHEN round(abs(y), 9) > round(abs(x), 9) THEN abs(y) ELSE abs(x) END, 6) AS reliability FROM joints", "joints"),
+    "previous_joint_search": with_views(", c AS (SELECT frame_id, i, greatest(abs(x - frame_id % 8), abs(y - frame_id // 8 % 8)) AS ring FROM patch WHERE body) SELECT frame_id, CAST(ring AS INT) AS ring, i FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY ring, i) AS k FROM c WHERE ring <= 4) x WHERE k = 1", "patch"),
     "training_history": "SELECT user_id AS key, string_agg(DISTINCT event_type, ',' ORDER BY event_type) || ',run' AS history FROM events GROUP BY user_id",
 }
 
-QUERIES = {f.__name__: f for f in (intrinsics_rotate, gravity_align, pose_reset, colour_map, behaviour_terms, kinematic_terms, bone_length_repair, candidate_people, forest_mean_flip, index_to_recording, bone_slerp, track_frames, training_history)}
+QUERIES = {f.__name__: f for f in (intrinsics_rotate, gravity_align, pose_reset, colour_map, behaviour_terms, kinematic_terms, bone_length_repair, candidate_people, forest_mean_flip, index_to_recording, bone_slerp, track_frames, bone_rotation_repair, skeleton_refine, previous_joint_search, training_history)}

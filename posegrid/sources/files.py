@@ -336,3 +336,15 @@ def decode_video(data: bytes, kind: str) -> np.ndarray:
 
 def field_of_view(pixels: int, focal: float) -> float:
     return 2 * math.atan(pixels / (2 * focal))
+
+
+def joint_params_binary(params: list[tuple[float, float, float]]) -> bytes:
+    """Packed bandwidth, threshold and offset of each joint, after their number."""
+    return struct.pack("<I", len(params)) + b"".join(struct.pack("<3f", *p) for p in params)
+
+
+def joint_params_from_binary(data: bytes) -> list[tuple[float, float, float]]:
+    n = struct.unpack_from("<I", data)[0]
+    if len(data) != 4 + 12 * n:
+        raise ValueError("the parameters are cut short")
+    return [struct.unpack_from("<3f", data, 4 + 12 * k) for k in range(n)]

@@ -215,3 +215,36 @@ def test_packs_append(spark, tmp_path):
     for k in range(2):
         files.write_pack(spark.createDataFrame([(k, bytearray(b"l"), bytearray(b"d"))], "frame long, labels binary, depth binary"), path)
     assert files.read_pack(spark, path, ["depth"]).columns == ["frame", "depth"] and files.read_pack(spark, path).count() == 2
+
+
+def test_packed_parameters():
+    p = [(0.5, 0.25, 0.125), (1.0, 2.0, 3.0)]
+    assert files.joint_params_from_binary(files.joint_params_binary(p)) == p
+    with pytest.raises(ValueError):
+        files.joint_params_from_binary(files.joint_params_binary(p)[:-1])
+
+
+def test_properties_keep_their_ranges():
+    from posegrid.config import TrainerProperties
+
+    p = TrainerProperties()
+    assert p.load('{"max_depth": 5, "nothing": 1}') == ["nothing"] and p.max_depth == 5
+    with pytest.raises(ValueError):
+        p.set("max_depth", 31)
+    assert json.loads(p.dump())["n_thresholds"] == 49
+
+
+def test_short_api(spark):
+    from posegrid import api
+    from posegrid.config import TrainerProperties
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(v[0] > 0), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    trainer = api.TreeTrainer(TrainerProperties(n_uvs=20, n_thresholds=5, max_depth=3, uv_range=64.0))
+    nodes = trainer.train(df)
+    pr = nodes.select(F.lit(0).alias("tree"), "node", "c", "t", F.array(*[F.coalesce(F.try_element_at("pr", F.lit(k)), F.lit(0.0)) for k in (0, 1)]).alias("pr"))
+    uv, cuts = trainer.candidates(64)
+    got = {r["vec_id"]: r["label"] for r in api.Forest(pr, uv, cuts, 3).labels(df).collect()}
+    assert len(got) == 200
+    assert sum(got[i] == label for i, label, _ in rows) > 110
