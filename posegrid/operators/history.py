@@ -77,14 +77,15 @@ def changed_frames(frames: DataFrame, least: float) -> DataFrame:
 def bracketed(requests: DataFrame, frames: DataFrame) -> DataFrame:
     """Each request (key, request_id, us) with the frames just before and after it, and the depth between them.
 
-    One sort of the union of both tables by key and time serves both sides; at the ends the near frame is used.
+    Two running windows over the union of both tables, one in each direction of time, each a linear pass of its sort;
+    at the ends the near frame is used.
     """
     tagged = frames.select("key", "us", F.lit(0).alias("is_request"), F.struct("us", "depth").alias("frame"), F.lit(None).cast("long").alias("request_id"))
     asked = requests.select("key", "us", F.lit(1).alias("is_request"), F.lit(None).cast(tagged.schema["frame"].dataType).alias("frame"), "request_id")
     both = tagged.unionByName(asked)
-    w = Window.partitionBy("key").orderBy("us", "is_request")
-    before = F.last("frame", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("frame", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    so_far = lambda *order: Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("frame", ignorenulls=True).over(so_far("us", "is_request"))
+    after = F.last("frame", ignorenulls=True).over(so_far(F.desc("us"), F.desc("is_request")))
     rows = both.withColumn("a", before).withColumn("b", after).where("is_request = 1")
     t = F.when(F.col("b.us") > F.col("a.us"), (F.col("us") - F.col("a.us")) / (F.col("b.us") - F.col("a.us"))).otherwise(0.0)
     depth = F.when(F.col("a").isNull(), F.col("b.depth")).when(F.col("b").isNull(), F.col("a.depth")).otherwise(F.col("a.depth") + (F.col("b.depth") - F.col("a.depth")) * t)

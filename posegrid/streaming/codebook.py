@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,25 +31,34 @@ def fold(words: list[list], frames: int, rows: Iterator[tuple], rules: Rules) ->
     A break in the stream wipes the codebook; a paused frame changes nothing. A run is a match right after a match;
     the creating match starts the counter at 0.
     """
+    means, oldest = [w[0] for w in words], min((w[3] for w in words), default=0)
     for us, kind, depth in rows:
         if kind == rules.paused_kind:
             continue
         if kind == rules.reset_kind:
-            words, frames = [], 0
+            words, means, frames = [], [], 0
             continue
         frames += 1
-        words = [w for w in words if us - w[3] <= rules.ttl_us]
-        near = min(((abs(w[0] - depth), i) for i, w in enumerate(words)), default=(rules.reach + 1, -1))
+        if words and us - oldest > rules.ttl_us:
+            words = [w for w in words if us - w[3] <= rules.ttl_us]
+            means, oldest = [w[0] for w in words], min((w[3] for w in words), default=us)
+        at = bisect_left(means, depth)
+        # The nearest word is beside the place of the depth; the nearer one to the camera on ties.
+        near = min(((abs(means[i] - depth), i) for i in (at - 1, at) if 0 <= i < len(means)), default=(rules.reach + 1, -1))
         if near[0] <= rules.reach:
-            w = words[near[1]]
+            w = words.pop(near[1])
+            means.pop(near[1])
             n = min(w[1], rules.cap)
             w[0] = (w[0] * n + depth) / (n + 1)
             w[1], w[3] = w[1] + 1, us
             w[4] += w[5] == frames - 1 and w[1] > 2
             w[5] = frames
         else:
-            words.append([depth, 1, us, us, 0, frames])
-        words.sort(key=lambda w: w[0])
+            w = [depth, 1, us, us, 0, frames]
+        oldest = min(oldest, us) if words else us
+        at = bisect_right(means, w[0])
+        words.insert(at, w)
+        means.insert(at, w[0])
     return words, frames
 
 
