@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -189,7 +187,3 @@ def sample_pixels(pixels: DataFrame, n: int, seed: int) -> DataFrame:
     draws = body.select("frame_id", "at", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
     pick = ((F.col("frame_id") * 7919 + F.col("draw") * 104729 + seed) % 1000003) % F.size("at")
     return draws.select("frame_id", "draw", F.get("at", pick.cast("int")).alias("i")).sortWithinPartitions("frame_id", "i")
-
-
-def depth_levels(n: int) -> int:
-    return int(math.log2(n + 1))

@@ -31,21 +31,20 @@ def clamp_background(label: Column, d: Column, bg: float) -> Column:
     return F.when((label == 0) | (d > bg), bg).otherwise(d)
 
 
-def depth_of(table: DataFrame) -> DataFrame:
-    return table.select("frame_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("depth").alias("n_depth"), F.col("body").alias("n_body"))
-
-
 #: The eight neighbours in scan order.
 AROUND = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 
 
 def neighbourhood(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Adds ``near``, the array of (depth, body) at each offset, null outside: one window a row of the image.
+    """Adds ``near``, the array of (depth, body) at each offset, null outside.
 
-    Rows of an image are packed into arrays first, so a pixel's neighbours come from its own frame without a join.
+    Pixels that carry their frame (column ``image``) need no shuffle; others are packed into frames first.
     """
-    whole = pixels.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("i", "depth", "body"))).alias("image"))  # an image at most
-    out = pixels.join(whole, "frame_id")
+    if "image" in pixels.columns:
+        out = pixels
+    else:
+        whole = pixels.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("i", "depth", "body"))).alias("image"))  # an image at most
+        out = pixels.join(whole, "frame_id")
     cell = lambda dx, dy: F.when((F.col("x") + dx).between(0, SIDE - 1) & (F.col("y") + dy).between(0, SIDE - 1), F.get("image", F.greatest(F.lit(0), F.least(F.lit(SIDE * SIDE - 1), F.col("i") + dy * SIDE + dx))))
     return out.withColumn("near", F.array(*[cell(dx, dy) for dx, dy in offsets])).drop("image")
 

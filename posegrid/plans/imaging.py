@@ -37,15 +37,15 @@ def near_far_cull(spark, sf_dir):
 
 
 def infill3x3(spark, sf_dir):
-    return imaging.infill(pixels(spark, sf_dir), 5).select("frame_id", "x", "y", F.round("depth", 6).alias("depth"))
+    return imaging.infill(pixels(spark, sf_dir, image=True), 5).select("frame_id", "x", "y", F.round("depth", 6).alias("depth"))
 
 
 def edge_swizzle(spark, sf_dir):
-    return imaging.edge_swizzle(pixels(spark, sf_dir), 5).select("frame_id", "x", "y", F.round("depth", 6).alias("depth"), "body", "edge")
+    return imaging.edge_swizzle(pixels(spark, sf_dir, image=True), 5).select("frame_id", "x", "y", F.round("depth", 6).alias("depth"), "body", "edge")
 
 
 def edge_detect(spark, sf_dir):
-    return imaging.detect_edges(pixels(spark, sf_dir), 0.3)
+    return imaging.detect_edges(pixels(spark, sf_dir, image=True), 0.3)
 
 
 def gaussian_noise(spark, sf_dir):

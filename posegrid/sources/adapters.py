@@ -18,11 +18,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("frame_id"), "label", F.transform("embedding", lambda v: v.cast("double") + BASE_DEPTH).alias("depth"))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a pixel: frame_id, label, i, x, y, value, depth, body."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), "label", F.posexplode("embedding").alias("i", "raw"))
+def pixels(spark: SparkSession, sf_dir: str, image: bool = False) -> DataFrame:
+    """One row a pixel: frame_id, label, i, x, y, value, depth, body; with ``image``, its whole frame beside it."""
+    e = table(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda v: F.named_struct(F.lit("depth"), v.cast("double") + BASE_DEPTH, F.lit("body"), v.cast("double") > BODY))
+    e = e.select(F.col("vec_id").alias("frame_id"), "label", F.posexplode("embedding").alias("i", "raw"), *[whole.alias("image")] * image)
     value = F.col("raw").cast("double")
-    return e.select("frame_id", "label", "i", (F.col("i") % SIDE).alias("x"), F.expr(f"cast(i div {SIDE} as int)").alias("y"), value.alias("value"), (value + BASE_DEPTH).alias("depth"), (value > BODY).alias("body"))
+    return e.select("frame_id", "label", "i", (F.col("i") % SIDE).alias("x"), F.expr(f"cast(i div {SIDE} as int)").alias("y"), value.alias("value"), (value + BASE_DEPTH).alias("depth"), (value > BODY).alias("body"), *["image"] * image)
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
