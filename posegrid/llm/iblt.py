@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,7 +158,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The head of each range ends the range before it; the first head ends the last range.
     heads = {tops[r][0]: used[i - 1] for i, r in enumerate(used)}
     place = F.lit(len(bounds)) - range_of(F.col("doc_id"), bounds)
-    copies = F.coalesce(*[F.when(F.col("doc_id").eqNullSafe(F.lit(k)), F.lit(v)) for k, v in heads.items()], F.lit(None).cast("int")) if len(heads) <= 64 else _looked_up(F.col("doc_id"), heads)
+    copies = _looked_up(F.col("doc_id"), heads)
     dealt = rows.select("doc_id", "text", place.alias("range"), copies.alias("copy"))
     dealt = dealt.select("doc_id", "text", F.explode(F.when(F.col("copy").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail")))).otherwise(
         F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail")), F.struct(F.col("copy").alias("range"), F.lit(1).alias("tail"))))).alias("at")).select("doc_id", "text", "at.*")
@@ -206,14 +207,13 @@ def _compared(ids: list, texts: list[str], cells: int) -> pa.RecordBatch:
         names=[x for x, _ in _RESULT])
 
 
-def _looked_up(key, places: dict):
-    """``places`` of a key (at most one a range) by a sorted search."""
-    import pandas as pd
-
-    known = pd.Series(places, dtype="Int64")
+def _looked_up(key, places: dict[int | None, int]):
+    """The place of a key, of which there is at most one a range; null for others."""
+    least = -(1 << 63)
+    known = pd.Series({least if k is None else k: v for k, v in places.items()}, dtype="Int32")
 
     @F.pandas_udf("int")
     def find(x: pd.Series) -> pd.Series:
         return x.map(known).astype("Int32")
 
-    return find(key)
+    return find(F.coalesce(key, F.lit(least).cast("long")))
