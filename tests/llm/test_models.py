@@ -109,6 +109,8 @@ def test_raked_shares_meet_their_targets(spark, docs, rows, nothing):
             assert abs(sum(r["n_tokens"] * r["raked"] for r in got if r[key] == k) / whole - share) < 1e-3
             assert abs(sum(r["n_tokens"] * r["weight"] for r in got if r[key] == k and r["sampled"]) / whole - share) < 0.04
     assert abs(sum(r["n_tokens"] for r in got if r["sampled"]) / whole - 0.4) < 0.03
+    close = lambda r: (r["doc_id"], r["n_tokens"], round(r["probability"], 5), r["sampled"])
+    assert sorted(map(close, raking.mix(df, targets=targets, budget=0.4, driver_cells=0).collect())) == sorted(map(close, got))
     edge = raking.mix(docs).collect()
     assert len(edge) == len(rows) and all(0 <= r["probability"] <= 1 for r in edge)
     assert raking.mix(nothing).count() == 0
