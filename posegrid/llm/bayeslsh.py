@@ -118,8 +118,13 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
 
 
-def _text_of(docs: DataFrame, node: str, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").alias(node), F.col("text").alias(text))
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents in ``ids``, found once and written, so that no later join moves other texts."""
+    return settle(docs.join(settle(ids.distinct(), "wanted"), "doc_id", "left_semi"), "texts")
+
+
+def _text_of(texts: DataFrame, node: str, text: str) -> DataFrame:
+    return texts.select(F.col("doc_id").alias(node), F.col("text").alias(text))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 80, den: int = 100, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -148,7 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 hit = survives(_signatures(batch.column(2)), _signatures(batch.column(3)), least) >= 0
                 yield batch.select(["hub", "node"]).filter(pa.array(hit))
 
-    survivors = tested.select("hub", "node", "signature", "other").mapInArrow(prune, "hub long, node long")
+    survivors = settle(tested.select("hub", "node", "signature", "other").mapInArrow(prune, "hub long, node long"), "survivors")
+    wanted = _texts(rows, survivors.select(F.explode(F.array("hub", "node")).alias("doc_id")))
 
     def confirm(batches):
         kept: tuple = (None, None)
@@ -162,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 good.append(similar(own[at[i] : at[i + 1]], kept[1], num, den))
             yield part.select(["hub", "node"]).filter(pa.array(good, pa.bool_()))
 
-    texts = survivors.join(_text_of(rows, "node", "text"), "node").join(_text_of(rows, "hub", "other"), "hub").select("hub", "node", "text", "other")
+    texts = survivors.join(_text_of(wanted, "node", "text"), "node").join(_text_of(wanted, "hub", "other"), "hub").select("hub", "node", "text", "other")
     links = settle(texts.mapInArrow(confirm, "hub long, node long"), "links")
     rest = settle(_rest_links(rows, pairs, connected_components(links, "hub", "node"), signed, least, words, num, den, block), "rest-links")
     found = connected_components(links.union(rest), "hub", "node")
@@ -232,4 +238,5 @@ def _rest_links(rows, pairs, components, signed, least, words, num, den, block)
 
     kind = "hub long, node long, component long, core boolean, x long, y long, kind int, signature binary"
     keep = settle(dealt.select("hub", "node", "component", "core", "x", "y", "kind", "signature").groupBy("hub", "x", "y", "kind").applyInArrow(worth, kind), "worth")
-    return keep.join(_text_of(rows, "node", "text"), "node").groupBy("hub", "x", "y", "kind").applyInArrow(links, "hub long, node long")
+    wanted = _texts(rows, keep.select(F.col("node").alias("doc_id")))
+    return keep.join(_text_of(wanted, "node", "text"), "node").groupBy("hub", "x", "y", "kind").applyInArrow(links, "hub long, node long")
