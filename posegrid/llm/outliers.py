@@ -1,10 +1,12 @@
 """Robust multivariate outliers by minimum covariance determinant, as DataFrame operations only.
 
 Each text becomes a vector of transformed statistics in fixed point. Rows are grouped by language and source (small
-groups pool by language, then all together). From coordinate-wise quartiles, concentration steps keep the
-nearest three quarters of a group and take their mean and covariance anew; a row whose squared Mahalanobis distance
-under the last estimate is beyond ``cutoff`` is rejected. Sums are of integers, so the result does not depend on
-their order; every aggregate combines on the map side, so a hot group costs no more than another.
+groups pool by language, then all together). From coordinate-wise medians and absolute deviations, concentration
+steps keep the nearest h = (n + d + 1) / 2 rows of a group and take their mean and covariance anew, until the
+determinant falls no more; a row whose squared Mahalanobis distance under the last estimate is beyond ``cutoff`` is
+rejected. Rows tied at the edge of the h nearest share the places left there, so a block of alike rows below half of
+a group cannot enter whole. Sums are of integers, so the result does not depend on their order; every aggregate
+combines on the map side, so a hot group costs no more than another.
 
 A null text has no words and fails the base rules, as an empty one does. Null languages and sources are values of
 their own. Repeated rows and ids count as often as they occur. Extra columns are not read. An empty table gives no
@@ -13,7 +15,7 @@ rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -30,6 +32,9 @@ VECTOR = (
 )
 SCALE, RIDGE, LEAST_ROWS, STEPS, KEEP, CONSISTENCY, CUTOFF = 64, (6.0, 16.0, 12.0, 12.0, 6.0, 6.0), 100, 2, 0.75, 1.35, 45.0
 D = len(VECTOR)
+#: STEPS, KEEP and CONSISTENCY are read by the SQL in oracles.py alone. The nearest half of a normal sample in D dimensions
+#: needs 0.5 / P(chi2(D + 2) <= median of chi2(D)); a determinant is stable when its logarithm falls by less than STABLE.
+HALF_CONSISTENCY, STABLE = 1.785, 1e-6
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
@@ -74,10 +79,10 @@ def moments() -> list[str]:
     return ["count(*) AS n", *(f"sum(z{i}) AS s{i}" for i in range(D)), *(f"sum(z{i} * z{j}) AS s{i}{j}" for i in range(D) for j in range(i + 1))]
 
 
-def factor_stages() -> list[list[str]]:
+def factor_stages(consistency: float = CONSISTENCY) -> list[list[str]]:
     """Columns that turn moments into the mean m and the lower Cholesky factor c of the ridged covariance, in stages."""
     stages = [[f"s{i} * 1e0 / n AS m{i}" for i in range(D)]]
-    stages.append([f"{CONSISTENCY!r}e0 * (s{i}{j} * 1e0 / n - m{i} * m{j})" + (f" + {RIDGE[i] ** 2!r}e0" if i == j else "") + f" AS v{i}{j}" for i in range(D) for j in range(i + 1)])
+    stages.append([f"{consistency!r}e0 * (s{i}{j} * 1e0 / n - m{i} * m{j})" + (f" + {RIDGE[i] ** 2!r}e0" if i == j else "") + f" AS v{i}{j}" for i in range(D) for j in range(i + 1)])
     for j in range(D):
         less = "".join(f" - c{j}{k} * c{j}{k}" for k in range(j))
         stages.append([f"sqrt(v{j}{j}{less}) AS c{j}{j}"])
@@ -98,6 +103,39 @@ def _staged(df: DataFrame, stages: list[list[str]]) -> DataFrame:
     return df
 
 
+MODEL = [*(f"m{i}" for i in range(D)), *(f"c{i}{j}" for i in range(D) for j in range(i + 1))]
+Z = [f"z{i}" for i in range(D)]
+
+
+def _refit(near: DataFrame) -> DataFrame:
+    """g and the estimate from its h rows of least level q; the rows at the last level share what is left of h."""
+    upto = Window.partitionBy("g").orderBy("q")
+    levels = near.groupBy("g", "q").agg(F.count("*").alias("here")).select("g", "q", "here", (F.sum("here").over(upto) - F.col("here")).alias("below"), F.sum("here").over(Window.partitionBy("g")).alias("n"))
+    levels = levels.selectExpr("g", "q", "here", "below", f"least(n, (n + {D} + 1) div 2) AS h").where("below < h").selectExpr("g", "q", "least(1e0, (h - below) * 1e0 / here) AS share")
+    # Integer sums by share; a group has two shares at most, so its weighted sums have no order either.
+    sums = near.join(levels, ["g", "q"]).groupBy("g", "share").agg(*[F.expr(x) for x in moments()])
+    names = [x.rpartition(" AS ")[2] for x in moments()]
+    sums = sums.groupBy("g").agg(*[F.sum(F.col("share") * F.col(x)).alias(x) for x in names])
+    log_det = " + ".join(f"2e0 * ln(c{j}{j})" for j in range(D))
+    return _staged(sums, factor_stages(HALF_CONSISTENCY)).select("g", F.struct(*MODEL, F.expr(log_det).alias("log_det")).alias("fit"))
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """Mean and Cholesky factor of each group g of the vectors, by minimum covariance determinant."""
+    middle = settle(rows.groupBy("g").agg(*[F.percentile(z, 0.5).alias(f"m{i}") for i, z in enumerate(Z)]), "medians")
+    spread = settle(rows.join(middle, "g").groupBy("g").agg(*[F.percentile(F.abs(F.col(z) - F.col(f"m{i}")), 0.5).alias(f"u{i}") for i, z in enumerate(Z)]), "deviations")
+    start = " + ".join(f"pow((z{i} - m{i}) / greatest(u{i} * 1.4826e0, {RIDGE[i]!r}e0), 2)" for i in range(D))
+    near = rows.join(middle.join(spread, "g"), "g").selectExpr("g", *Z, f"{level(start)} AS q")
+    model = settle(_refit(near).withColumn("moved", F.lit(True)), "model")
+    while model.where("moved").limit(1).count():
+        moving = model.where("moved").select("g", "fit.*")
+        near = _staged(rows.join(moving, "g"), distance_stages()).selectExpr("g", *Z, f"{level('d2')} AS q")
+        better = F.coalesce(F.col("new.log_det") < F.col("fit.log_det") - STABLE, F.lit(False))
+        model = model.drop("moved").join(_refit(near).withColumnRenamed("fit", "new"), "g", "left")
+        model = settle(model.select("g", F.when(better, F.col("new")).otherwise(F.col("fit")).alias("fit"), better.alias("moved")), "model")
+    return model.select("g", *[f"fit.{x}" for x in MODEL])
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, keep: list | tuple = ()) -> DataFrame:
     """``keep``, doc_id, the statistics, base_failed, kept, d2 (squared distance; null where the base rules failed)."""
     stats = settle(statistics(docs, id_col, text_col, tuple(keep)).selectExpr("*", f"{BASE_FAILED} AS base_failed"), "statistics")
@@ -105,19 +143,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
     counts = good.groupBy("of_lang", "of_source").agg(F.count("*").alias("n"))
     small = counts.where(f"n < {LEAST_ROWS}").groupBy("of_lang").agg(F.sum("n").alias("of_pool"))
     groups = counts.join(small, "of_lang", "left").selectExpr("of_lang", "of_source", f"CASE WHEN n >= {LEAST_ROWS} THEN concat(of_lang, '/', of_source) WHEN of_pool >= {LEAST_ROWS} THEN concat(of_lang, '/') ELSE '' END AS g")
-    z = [f"z{i}" for i in range(D)]
     groups = settle(groups, "groups")
-    rows = settle(good.join(groups, ["of_lang", "of_source"]).select("g", *z), "vectors")
-
-    quartiles = [F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(D)]
-    model = settle(rows.groupBy("g").agg(*quartiles).select("g", *[F.get(f"q{i}", k).alias(f"{n}{i}") for i in range(D) for k, n in enumerate("lmu")]), "start")
-    near = rows.join(model, "g").selectExpr("g", *z, f"{level(start_distance())} AS q")
-    for _ in range(STEPS + 1):
-        near = settle(near, "near")
-        edges = near.groupBy("g").agg(F.percentile("q", KEEP).alias("edge"))
-        sums = near.join(edges, "g").where("q <= edge").groupBy("g").agg(*[F.expr(x) for x in moments()])
-        model = settle(_staged(sums, factor_stages()).select("g", *[f"m{i}" for i in range(D)], *[f"c{i}{j}" for i in range(D) for j in range(i + 1)]), "model")
-        near = _staged(rows.join(model, "g"), distance_stages()).selectExpr("g", *z, f"{level('d2')} AS q")
+    model = estimate(settle(good.join(groups, ["of_lang", "of_source"]).select("g", *Z), "vectors"))
     judged = stats.selectExpr("*", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source", *[f"CASE WHEN NOT base_failed THEN {c.rpartition(' AS ')[0]} END AS z{i}" for i, c in enumerate(vector_columns())])
     judged = judged.join(groups, ["of_lang", "of_source"], "left").join(model, "g", "left")
     d2 = _staged(judged, distance_stages())

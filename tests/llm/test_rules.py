@@ -42,6 +42,19 @@ def test_planted_outliers_go_and_clean_documents_stay(spark):
     assert not any(got[i] for i, *_ in bad)
 
 
+@pytest.mark.parametrize("share", [0.34, 0.4])
+def test_alike_junk_of_a_large_share_goes(spark, share):
+    """One junk template with a third and more of a group's rows is no part of what the group is measured by."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    n_junk = int(share * 400)
+    template = " ".join(word().upper() + "!!**" for _ in range(120))
+    data = [(i, " ".join(word() for _ in range(120)).capitalize() + "." if i >= n_junk else template, "en", "s") for i in range(400)]
+    got = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in range(n_junk))
+    assert all(got[i] for i in range(n_junk, 400))
+
+
 def test_rule_edge_cases(docs, rows, nothing):
     got = outliers.judge(docs).collect()
     assert len(got) == len(rows)
