@@ -1,7 +1,7 @@
 """Robust multivariate outliers by minimum covariance determinant, as DataFrame operations only.
 
-Each text becomes a vector of transformed statistics in fixed point. Rows are grouped by language and source (small
-groups pool by language, then all together). From coordinate-wise medians and absolute deviations, concentration
+Each text becomes a vector of transformed statistics in fixed point. Rows are grouped by language and source; a
+group under 100 rows is measured by all rows of its language, or by all rows where its language has under 100. From coordinate-wise medians and absolute deviations, concentration
 steps keep the nearest h = (n + d + 1) / 2 rows of a group and take their mean and covariance anew, until the
 determinant falls no more; a row whose squared Mahalanobis distance under the last estimate is beyond ``cutoff`` is
 rejected. Rows tied at the edge of the h nearest share the places left there, so a block of alike rows below half of
@@ -141,10 +141,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutof
     stats = settle(statistics(docs, id_col, text_col, tuple(keep)).selectExpr("*", f"{BASE_FAILED} AS base_failed"), "statistics")
     good = stats.where("NOT base_failed").selectExpr("*", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source", *vector_columns())
     counts = good.groupBy("of_lang", "of_source").agg(F.count("*").alias("n"))
-    small = counts.where(f"n < {LEAST_ROWS}").groupBy("of_lang").agg(F.sum("n").alias("of_pool"))
-    groups = counts.join(small, "of_lang", "left").selectExpr("of_lang", "of_source", f"CASE WHEN n >= {LEAST_ROWS} THEN concat(of_lang, '/', of_source) WHEN of_pool >= {LEAST_ROWS} THEN concat(of_lang, '/') ELSE '' END AS g")
+    # The length in front keeps names of values with a slash apart.
+    of_lang, of_source = "concat(length(of_lang), ':', of_lang)", "concat(length(of_lang), ':', of_lang, '/', of_source)"
+    langs = counts.groupBy("of_lang").agg(F.sum("n").alias("lang_n"))
+    groups = counts.join(langs, "of_lang").selectExpr("of_lang", "of_source", f"CASE WHEN n >= {LEAST_ROWS} THEN {of_source} WHEN lang_n >= {LEAST_ROWS} THEN {of_lang} ELSE '' END AS g")
     groups = settle(groups, "groups")
-    model = estimate(settle(good.join(groups, ["of_lang", "of_source"]).select("g", *Z), "vectors"))
+    # A row counts in each estimate that some group is measured by: its own group's, its language's and that of all rows.
+    within = groups.selectExpr("of_lang", "of_source", f"explode(array({of_source}, {of_lang}, '')) AS g").join(groups.select("g").distinct(), "g", "left_semi")
+    model = estimate(settle(good.join(within, ["of_lang", "of_source"]).select("g", *Z), "vectors"))
     judged = stats.selectExpr("*", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source", *[f"CASE WHEN NOT base_failed THEN {c.rpartition(' AS ')[0]} END AS z{i}" for i, c in enumerate(vector_columns())])
     judged = judged.join(groups, ["of_lang", "of_source"], "left").join(model, "g", "left")
     d2 = _staged(judged, distance_stages())

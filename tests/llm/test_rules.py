@@ -55,6 +55,21 @@ def test_alike_junk_of_a_large_share_goes(spark, share):
     assert all(got[i] for i in range(n_junk, 400))
 
 
+def test_junk_of_small_sources_and_languages_goes(spark):
+    """Small groups are measured by all rows of their language, or by all rows, and not by each other."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    clean = lambda: " ".join(word() for _ in range(120)).capitalize() + "."
+    junk = lambda: " ".join(word().upper() + "!!**" for _ in range(120))
+    data = [(i, clean(), "en", f"s{i % 2}") for i in range(400)] + [(400 + i, clean(), "fr", None) for i in range(120)]
+    bad = [(1000 + i, junk(), "en", "small") for i in range(20)] + [(1100, junk(), "fr", "one"), (1200, junk(), "rare", "x"), (1201, junk(), "rare", "y"), (1300, junk(), None, None)]
+    good = [(2000 + i, clean(), "en", "few") for i in range(5)] + [(2100, clean(), "rare", "x"), (2101, clean(), "fr", "one")]
+    got = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(data + bad + good, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(data + bad + good)
+    assert not any(got[i] for i, *_ in bad)
+    assert all(got[i] for i, *_ in data + good)
+
+
 def test_rule_edge_cases(docs, rows, nothing):
     got = outliers.judge(docs).collect()
     assert len(got) == len(rows)
