@@ -131,6 +131,34 @@ def test_blocks_reach_aliases_unless_allowed(spark):
     assert apart == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 7: "allow", 8: "block", 9: "block"}
 
 
+def test_relative_repeated_and_encoded_links(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    base = "https://Host.org:8/a/b/page.html?q=1#f"
+    links = ["/en/7", "//host.net/x", "next", "../up?k=/../v", "./same/.", "?p=2", "/a/../../c", "..", "http://x.y/z", "deep/er#t", "/p?u=http://z.org/"]
+    got = spark.createDataFrame([(x, base) for x in links], "x string, base string").select("x", urlblock.resolved(F.col("x"), F.col("base")).alias("y")).collect()
+    assert {r["x"]: r["y"] for r in got} == {x: urljoin(base, x) for x in links}
+    nowhere = spark.createDataFrame([("mailto:a@b.c", base), ("#f", base), ("/x", "no scheme"), ("", base)], "x string, base string")
+    assert [r[0] for r in nowhere.select(urlblock.resolved(F.col("x"), F.col("base"))).collect()] == [None] * 4
+
+    pages = [
+        (1, "http://a.com/en/1", '<link rel=canonical href="/y">'),  # blocked by rule, and its root-relative target with it
+        (2, "http://a.com/y", None),
+        (3, "http://b.org/dir/p", "<meta http-equiv=refresh content='0;url=../es/2?a=1&amp;b=2'>"),  # to a blocked url
+        (4, "http://c.net/q", "<script>location='//d.net/z'; if (m) { location = '/other'; }</script>"),
+        (5, "http://d.net/z", "<script>location.replace('/es/ok')</script><script>location.replace('http://b.org/es/1')</script>"),  # the second one is blocked
+        (6, "http://e.net/u", '<meta property="og:url" content="http://e.net/u"><meta property="og:url" content="http://a.com/en/&#x31;">'),
+        (7, "http://c.net/other", None),
+        (8, "http://f.net/v", '<div location="/w"></div><a href="/en/1">'),  # no redirect
+        (9, "http://f.net/w", "<base href='http://b.org/es/'><link rel=canonical href=9>"),
+    ]
+    want = {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "allow", 9: "block"}
+    got = urlblock.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == want
+
+
 def test_shards_are_even_and_alike(spark, docs, rows, nothing):
     got = interleave.interleave(docs).collect()
     assert len(got) == len(rows)
