@@ -62,7 +62,7 @@ def pose_export(spark, sf_dir):
 
 
 def complete_skeletons(spark, sf_dir):
-    return skeleton.poses_json(skeleton.complete(joints(spark, sf_dir).where("joint < 5")))
+    return skeleton.poses_json(skeleton.complete(joints(spark, sf_dir)))
 
 
 def person_assoc(spark, sf_dir):

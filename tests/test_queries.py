@@ -1,6 +1,7 @@
 """Every query that SQL can express, against DuckDB on the smallest tables."""
 
 import glob
+import json
 import math
 import os
 
@@ -37,6 +38,14 @@ def test_query_equals_sql(spark, tables, name):
     assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_complete_skeletons_have_all_joints(spark, tables):
+    want = tables.sql("SELECT vec_id FROM embeddings WHERE list_bool_and(list_transform(range(14), lambda k: embedding[3 * k + 1] > -0.3))").fetchall()
+    got = QUERIES["complete_skeletons"](spark, SF_DIR).collect()
+    assert sorted(r["frame_id"] for r in got) == sorted(x for (x,) in want)
+    assert all(len(json.loads(r["json"])["joints"]) == 14 for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 @pytest.mark.parametrize("stream, batch", [("stream_codebook", "codebook_fold"), ("stream_people", "people_fold")])
 def test_stream_equals_batch(spark, stream, batch):
