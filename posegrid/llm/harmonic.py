@@ -47,12 +47,12 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, c
         from pyspark import TaskContext
 
         coder, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end, seen = np.asarray([end_id], coder.type).tobytes(), [0] * (classes + 1)
-        for batch in text_slices(batches):
+        end, seen = np.asarray([end_id], "<u4").tobytes(), [0] * (classes + 1)
+        for batch in text_slices(batches, most=1 << 22):
             rows = []
-            ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, value in zip(batch.column(0).to_pylist(), ids):
-                wide = memoryview(np.frombuffer(value + end, coder.type).astype("<u4").tobytes())
+            ids, cut = coder.encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), cut[:-1], cut[1:]):
+                wide = memoryview(ids[a:b].astype("<u4").tobytes() + end)
                 n, at = len(wide) // 4, 0
                 for length, k in [(capacity, 1)] * (n // capacity) + cuts[n % capacity]:
                     rows.append((doc_id, at, length, zlib.crc32(wide[4 * at : 4 * (at + length)]), n, k, part, seen[k]))

@@ -196,9 +196,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
             shard.finish()
             done.append((at, seq, uri, len(shard.keys), shard.tokens))
 
-        for part in text_slices(batches):
-            ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
-            for doc_id, value, at in zip(part.column(0).to_pylist(), ids, part.column(2).to_pylist()):
+        for part in text_slices(batches, most=1 << 22):
+            ids, cut = coder.encode(part.column(1))
+            values = (ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:]))
+            for doc_id, value, at in zip(part.column(0).to_pylist(), values, part.column(2).to_pylist()):
                 if shard is None:
                     name = f"{at:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
                     uri, shard = f"{folder}/{name}", ShardWriter(system.open_output_stream(f"{root}/{name}"), coder.width)

@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from posegrid.llm import harmonic, sst
-from posegrid.llm.tokens import encoder, vocabulary
+from posegrid.llm import harmonic, sst, tokens
+from posegrid.llm.tokens import Encoder, encoder, vocabulary
 
 
 def ids_of(text, end):
@@ -15,10 +16,29 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-def test_words_and_whole_texts_agree(rows):
-    texts = [r[1] or "" for r in rows] + [" a", "a ", "a  b", "it's fine, isn't it.", "<|endoftext|> b", "  x", "10, 20.5; a.b", "tab\tand\nline", "É.", "a. b."]
-    coder = encoder(vocabulary())
-    assert [np.frombuffer(x, coder.type).tolist() for x in coder.encode(texts)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+ODD = [" a", "a ", "a  b", "it's fine, isn't it.", "<|endoftext|> b", "  x", "10, 20.5; a.b", "tab\tand\nline", "É.", "a. b.", None, "", "\n", " ", "a\n b", "a \nb", "日本語。\u3000b", "— . –.", "a'.'s", "don't'll 's", "\n's"]
+ODD += ["a\x1c b", "x<|endoftext|>. y", "é, ×. ÷, ü'", "word " * 50, "a" * 200 + ".", " <|endoftext|>", "²,½. ª", "x\u00a0 y", "\u2028z"]
+SIGNS = [*"abcXYZ019  \n\n.,;'!?-<|>\t éß×÷日—'s", " the", " and", ". ", ", ", "<|endoftext|>", "\x85", "\x1d", "\u00a0", "\r\n", "\x0b", "\x0c", "'re", "\U0001f600", "\u2003"]
+
+
+def test_pieces_and_whole_texts_agree(rows, monkeypatch):
+    rng = random.Random(1)
+    texts = [r[1] for r in rows] + ODD + ["".join(rng.choice(SIGNS) for _ in range(rng.randrange(40))) for _ in range(20_000)]
+    coder = Encoder(vocabulary())
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 5_000)  # the store is emptied some times
+    for at in range(0, len(texts), 1_000):
+        part = texts[at : at + 1_000]
+        ids, cut = coder.encode(pa.array(part, pa.string()))
+        want = coder.library.encode_batch([t or "" for t in part], add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])] == [x.ids for x in want]
+        assert len(coder.known) <= 5_000 + len(part)
+
+
+def test_vocabulary_of_another_kind_encodes_whole_texts():
+    coder = Encoder(vocabulary("word_bpe_49k.json"))
+    texts = ["Some Words, and more.", "", None, "a  b\n"]
+    ids, cut = coder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])] == [coder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_shards_hold_all_ids(docs, rows, nothing):
