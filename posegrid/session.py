@@ -28,21 +28,50 @@ def ship(spark: SparkSession) -> None:
 
 
 _LOCAL: list[str] = []
+_ROOTS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """This application's folder in the one that all executors share (spark.checkpoint.dir); it goes at the end.
+
+    Where the setting is missing, only a local master may use a folder of its own: on a cluster each executor would
+    write to its own disk.
+    """
+    ship(spark)
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
-        return set_by_cluster.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _ROOTS:
+            _ROOTS[app] = f"{set_by_cluster.rstrip('/')}/posegrid-{app}-{uuid.uuid4().hex[:8]}"
+            atexit.register(_remove, spark, _ROOTS[app])
+        return _ROOTS[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="posegrid-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
     return "file://" + _LOCAL[0]
 
 
-def settle(df: DataFrame) -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped before us
+        return
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage of an iteration and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.settled_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``settle`` wrote, once nothing reads it any more; other tables are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("settled_at", None):
+            _remove(df.sparkSession, path)
