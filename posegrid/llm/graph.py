@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,6 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = settle(large, "large-star")
         least = large.groupBy(F.col("v").alias("v")).agg(F.min("m").alias("least"))
         turned = large.join(least, "v").select(F.when(F.col("m") == F.col("least"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("least").alias("m"))
-        now = settle(turned.where("v != m").distinct(), "small-star")
+        before, now = now, settle(turned.where("v != m").distinct(), "small-star")
+        discard(before, large)
     members = now.select(F.col("v").alias("node"), F.col("m").alias("component"))
     return members.union(now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from . import interleave, outliers, raking, urlblock
 
 _UP, _LOW = urlblock.UPPER, urlblock.LOWER
+#: Concentration steps and raking sweeps that the SQL unrolls; both are stable long before.
+SQL_STEPS, SQL_SWEEPS, SQL_CAPS = 12, 24, 12
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 NEAR = rf"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')")} AS w FROM documents),
@@ -90,36 +92,65 @@ SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(position * 16 // n A
 def _outliers() -> str:
     text = "coalesce(text, '')"
     count = lambda what: f"CAST(length(regexp_replace({text}, '[^{what}]+', '', 'g')) AS BIGINT)"
-    d, z = outliers.D, ", ".join(f"z{i}" for i in range(outliers.D))
-    sql = rf"""WITH w AS (SELECT row_number() OVER () AS id, doc_id, lang, source, {_WORDS.format(text)} AS w, list_filter(string_split({text}, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, {count('#*$%&|<>')} AS n_symbols, {count('!?.,;:')} AS n_marks, {count('A-ZÀ-ÖØ-Þ')} AS n_capitals FROM documents),
-g AS (SELECT id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS s FROM w WHERE len(w) >= 3),
+    d, z = outliers.D, ", ".join(outliers.Z)
+    windows = rf"""g AS (SELECT id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS s
+    FROM w WHERE len(w) >= 3),
 a AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, s) AS k FROM g) x WHERE k > 1),
-c AS (SELECT id, count(DISTINCT i + k) AS n FROM a, range(3) q(k) GROUP BY id),
-stats AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, coalesce('=' || lang, '') AS of_lang, coalesce('=' || source, '') AS of_source FROM
-    (SELECT w.id, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, n_marks, n_capitals, CAST(len(l) AS BIGINT) AS n_lines FROM w LEFT JOIN c ON c.id = w.id) x),
-good AS (SELECT *, {', '.join(outliers.vector_columns())} FROM stats WHERE NOT base_failed),
-counts AS (SELECT of_lang, of_source, count(*) AS n FROM good GROUP BY 1, 2),
-pools AS (SELECT of_lang, sum(n) AS of_pool FROM counts WHERE n < {outliers.LEAST_ROWS} GROUP BY 1),
-groups AS (SELECT of_lang, of_source, CASE WHEN n >= {outliers.LEAST_ROWS} THEN of_lang || '/' || of_source WHEN of_pool >= {outliers.LEAST_ROWS} THEN of_lang || '/' ELSE '' END AS g FROM counts LEFT JOIN pools USING (of_lang)),
-v AS MATERIALIZED (SELECT id, g, {z} FROM good JOIN groups USING (of_lang, of_source)),
-start AS (SELECT g, {', '.join(f"quantile_cont(z{i}, {q}) AS {n}{i}" for i in range(d) for q, n in ((0.25, 'l'), (0.5, 'm'), (0.75, 'u')))} FROM v GROUP BY g),
-near0 AS MATERIALIZED (SELECT v.*, {outliers.level(outliers.start_distance())} AS q FROM v JOIN start USING (g))"""
-    for k in range(outliers.STEPS + 1):
+c AS (SELECT id, count(DISTINCT i + k) AS n FROM a, range(3) q(k) GROUP BY id)"""
+    sql = rf"""WITH w AS (SELECT row_number() OVER () AS id, doc_id, lang, source, {_WORDS.format(text)} AS w,
+    list_filter(string_split({text}, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+    {count('#*$%&|<>')} AS n_symbols, {count('!?.,;:')} AS n_marks, {count('A-ZÀ-ÖØ-Þ')} AS n_capitals FROM documents),
+{windows},
+counted AS (SELECT w.id, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, n_marks, n_capitals, CAST(len(l) AS BIGINT) AS n_lines
+    FROM w LEFT JOIN c ON c.id = w.id),
+stats AS (SELECT *, ({outliers.BASE_FAILED}) AS base_failed, coalesce('=' || lang, '') AS of_lang, coalesce('=' || source, '') AS of_source FROM counted),
+good AS MATERIALIZED (SELECT id, of_lang, of_source, {', '.join(outliers.vector_columns())} FROM stats WHERE NOT base_failed),
+v AS MATERIALIZED (SELECT unnest([{', '.join(outliers.NAMES.values())}]) AS g, {z} FROM good),
+middle AS MATERIALIZED (SELECT g, count(*) AS n, {', '.join(f"quantile_cont(z{i}, 0.5) AS m{i}" for i in range(d))} FROM v GROUP BY g),
+spread AS (SELECT g, {', '.join(f"quantile_cont(abs(z{i} - m{i}), 0.5) AS u{i}" for i in range(d))} FROM v JOIN middle USING (g) GROUP BY g),
+near0 AS MATERIALIZED ({' UNION ALL '.join(f"SELECT g, {k} AS start, {z}, {outliers.level(x)} AS q FROM v JOIN middle USING (g) JOIN spread USING (g)" for k, x in enumerate(outliers.start_distances()))})"""
+    fit = ", ".join(outliers.FIT)
+    sums = [x.rpartition(" AS ")[2] for x in outliers.moments()]
+    # As many steps as any table needs here: a fit that no longer moves stays as it is.
+    for k in range(SQL_STEPS + 1):
         sql += f""",
-edge{k} AS (SELECT g, quantile_cont(q, {outliers.KEEP}) AS edge FROM near{k} GROUP BY g),
-sum{k} AS (SELECT g, {', '.join(outliers.moments())} FROM near{k} JOIN edge{k} USING (g) WHERE q <= edge GROUP BY g)"""
+levels{k} AS (SELECT g, start, q, count(*) AS here FROM near{k} GROUP BY g, start, q),
+below{k} AS (SELECT *, sum(here) OVER (PARTITION BY g, start ORDER BY q) - here AS below, sum(here) OVER (PARTITION BY g, start) AS n FROM levels{k}),
+share{k} AS (SELECT g, start, q, least(1e0, (least(n, (n + {d} + 1) // 2) - below) * 1e0 / here) AS share FROM below{k} WHERE below < least(n, (n + {d} + 1) // 2)),
+part{k} AS (SELECT g, start, share, {', '.join(outliers.moments())} FROM near{k} JOIN share{k} USING (g, start, q) GROUP BY g, start, share),
+sum{k} AS (SELECT g, start, {', '.join(f'sum(share * {x}) AS {x}' for x in sums)} FROM part{k} GROUP BY g, start)"""
         last = f"sum{k}"
-        for i, columns in enumerate(outliers.factor_stages()):
+        for i, columns in enumerate(outliers.covariance_stages() + outliers.factor_stages()):
             sql += f", f{k}_{i} AS (SELECT *, {', '.join(columns)} FROM {last})"
             last = f"f{k}_{i}"
-        keep = ", ".join(["g", *(f"m{i}" for i in range(d)), *(f"c{i}{j}" for i in range(d) for j in range(i + 1))])
-        sql += f", model{k} AS MATERIALIZED (SELECT {keep} FROM {last}), d{k}_a AS (SELECT * FROM v JOIN model{k} USING (g))"
-        last = f"d{k}_a"
-        for i, columns in enumerate(outliers.distance_stages()):
-            sql += f", d{k}_{i} AS (SELECT *, {', '.join(columns)} FROM {last})"
-            last = f"d{k}_{i}"
-        sql += f", near{k + 1} AS MATERIALIZED (SELECT id, g, {z}, d2, {outliers.level('d2')} AS q FROM {last})"
-    return sql + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= {outliers.CUTOFF!r}e0 AS kept, round(d2, 6) AS d2 FROM stats LEFT JOIN near{outliers.STEPS + 1} USING (id)"
+        sql += f", new{k} AS MATERIALIZED (SELECT g, start, {fit}, {outliers.LOG_DET} AS log_det FROM {last})"
+        if k:
+            better = f"b.log_det < a.log_det - {outliers.STABLE!r}"
+            sql += f", model{k} AS MATERIALIZED (SELECT g, start, {', '.join(f'CASE WHEN {better} THEN b.{x} ELSE a.{x} END AS {x}' for x in (*outliers.FIT, 'log_det'))} FROM model{k - 1} a JOIN new{k} b USING (g, start))"
+        else:
+            sql += ", model0 AS MATERIALIZED (SELECT * FROM new0)"
+        if k < SQL_STEPS:
+            last = f"(SELECT * FROM v JOIN model{k} USING (g)) x"
+            for i, columns in enumerate(outliers.distance_stages()):
+                sql += f", d{k}_{i} AS (SELECT *, {', '.join(columns)} FROM {last})"
+                last = f"d{k}_{i}"
+            sql += f", near{k + 1} AS MATERIALIZED (SELECT g, start, {z}, {outliers.level('d2')} AS q FROM {last})"
+    sql += f""",
+best AS MATERIALIZED (SELECT b.*, n FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY log_det, start) AS k FROM model{SQL_STEPS}) b JOIN middle USING (g) WHERE k = 1),
+named AS (SELECT of_lang, of_source, {', '.join(f'{x} AS g_{k}' for k, x in outliers.NAMES.items())} FROM (SELECT DISTINCT of_lang, of_source FROM good) x),
+shrunk AS (SELECT of_lang, of_source, {', '.join(outliers.shrunk())} FROM named JOIN best own ON own.g = g_own JOIN best lang ON lang.g = g_lang JOIN best whole ON whole.g = g_whole)"""
+    last = "shrunk"
+    for i, columns in enumerate(outliers.factor_stages()):
+        sql += f", s_{i} AS (SELECT *, {', '.join(columns)} FROM {last})"
+        last = f"s_{i}"
+    last = f"(SELECT * FROM good JOIN {last} USING (of_lang, of_source)) x"
+    for i, columns in enumerate(outliers.distance_stages()):
+        sql += f", e_{i} AS (SELECT *, {', '.join(columns)} FROM {last})"
+        last = f"e_{i}"
+    return sql + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= {outliers.CUTOFF!r}e0 AS kept, round(d2, 6) AS d2
+FROM stats LEFT JOIN {last} USING (id)"""
 
 
 def _rake() -> str:
@@ -133,17 +164,17 @@ c0 AS MATERIALIZED (SELECT {', '.join(keys)}, CAST(sum(n) AS BIGINT) AS tokens,
         sql += f""", of_{key} AS (SELECT {key}, CAST(sum(tokens) AS DOUBLE) AS s FROM c0 GROUP BY 1),
 goal_{key} AS MATERIALIZED (SELECT {key}, CASE WHEN s > 0 THEN pow(s, {raking.TEMPER}) ELSE 0e0 END / (SELECT sum(CASE WHEN s > 0 THEN pow(s, {raking.TEMPER}) ELSE 0e0 END) FROM of_{key}) * (SELECT t FROM total) AS goal FROM of_{key})"""
     k = 0
-    for _ in range(raking.SWEEPS):
+    for _ in range(SQL_SWEEPS):
         for key in keys:
             sql += f""", c{k + 1} AS MATERIALIZED (SELECT {', '.join('c.' + x for x in keys)}, tokens, raked * CASE WHEN sum(tokens * raked) OVER (PARTITION BY c.{key}) > 0 THEN goal / sum(tokens * raked) OVER (PARTITION BY c.{key}) ELSE 1e0 END AS raked FROM c{k} c JOIN goal_{key} o ON o.{key} = c.{key})"""
             k += 1
     sql += f", p0 AS (SELECT {raking.BUDGET!r}e0 AS c)"
-    for i in range(raking.CAP_ROUNDS):
+    for i in range(SQL_CAPS):
         sql += f""", p{i + 1} AS MATERIALIZED (SELECT greatest(c, coalesce(({raking.BUDGET!r}e0 * (SELECT t FROM total) - coalesce((SELECT sum(tokens) FROM c{k} WHERE raked * c >= 1), 0)) / (SELECT sum(tokens * raked) FROM c{k} WHERE NOT raked * c >= 1), c)) AS c FROM p{i})"""
     value = lambda x: f"CASE WHEN mix_{x} <> '' THEN substr(mix_{x}, 2) END AS {x}"
     return sql + f"""
 SELECT doc_id, {value('source')}, {value('lang')}, mix_topic AS topic, n AS n_tokens, round(raked, 6) AS raked, round(p, 6) AS probability, round(raked / p, 6) AS weight, unit < p AS sampled
-FROM (SELECT r.*, raked, least(1e0, raked * (SELECT c FROM p{raking.CAP_ROUNDS})) AS p FROM r JOIN c{k} USING ({', '.join(keys)})) x"""
+FROM (SELECT r.*, raked, least(1e0, raked * (SELECT c FROM p{SQL_CAPS})) AS p FROM r JOIN c{k} USING ({', '.join(keys)})) x"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,14 @@
 """Robust multivariate outliers by minimum covariance determinant, as DataFrame operations only.
 
-Each text becomes a vector of transformed statistics in fixed point. Rows are grouped by language and source; a
-group under 100 rows is measured by all rows of its language, or by all rows where its language has under 100. From coordinate-wise medians and absolute deviations, concentration
-steps keep the nearest h = (n + d + 1) / 2 rows of a group and take their mean and covariance anew, until the
-determinant falls no more; a row whose squared Mahalanobis distance under the last estimate is beyond ``cutoff`` is
-rejected. Rows tied at the edge of the h nearest share the places left there, so a block of alike rows below half of
-a group cannot enter whole. Sums are of integers, so the result does not depend on their order; every aggregate
-combines on the map side, so a hot group costs no more than another.
+Each text becomes a vector of transformed statistics in fixed point. Estimates are made for each language and source,
+each language and all rows. For each, concentration steps from several starts keep the nearest h = (n + d + 1) / 2
+rows and take their mean and covariance anew, until the determinant falls no more; the start of least determinant
+stays. Rows tied at the edge of the h nearest share the places left there, so a block of alike rows below half of a
+group cannot enter whole. A source's estimate is then drawn towards its language's, and that towards all rows', by
+the weights n and PRIOR_ROWS: small groups are measured mostly by what they belong to, with no step at any size. A
+row is rejected if its squared Mahalanobis distance is beyond the chi-square quantile that a clean row exceeds with
+probability ``miss``. Sums are of integers, so the result does not depend on their order; every aggregate combines on
+the map side, so a hot group costs no more than another.
 
 A null text has no words and fails the base rules, as an empty one does. Null languages and sources are values of
 their own. Repeated rows and ids count as often as they occur. Extra columns are not read. An empty table gives no
@@ -15,10 +17,12 @@ rows.
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 SPACES = r"[\x20\x09-\x0D]"
 #: ln(chars per word), and ln(1 + 100 x) of symbols, marks and capitals per char, repeated words and dup lines per word or line.
@@ -30,11 +34,28 @@ VECTOR = (
     "n_repeat_words * 1e0 / n_words",
     "n_dup_lines * 1e0 / n_lines",
 )
-SCALE, RIDGE, LEAST_ROWS, STEPS, KEEP, CONSISTENCY, CUTOFF = 64, (6.0, 16.0, 12.0, 12.0, 6.0, 6.0), 100, 2, 0.75, 1.35, 45.0
+SCALE, RIDGE, PRIOR_ROWS, MISS = 64, (6.0, 16.0, 12.0, 12.0, 6.0, 6.0), 100, 5e-8
 D = len(VECTOR)
-#: STEPS, KEEP and CONSISTENCY are read by the SQL in oracles.py alone. The nearest half of a normal sample in D dimensions
-#: needs 0.5 / P(chi2(D + 2) <= median of chi2(D)); a determinant is stable when its logarithm falls by less than STABLE.
-HALF_CONSISTENCY, STABLE = 1.785, 1e-6
+#: A determinant is stable when its logarithm falls by less than this.
+STABLE = 1e-6
+
+
+def chi_square_tail(x: float, d: int) -> float:
+    """P(chi-square of even d > x)."""
+    return exp(-x / 2) * sum((x / 2) ** k / factorial(k) for k in range(d // 2))
+
+
+def chi_square_quantile(tail: float, d: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_tail(mid, d) > tail else (low, mid)
+    return low
+
+
+#: The nearest half of a normal sample has a covariance too small by this factor.
+CONSISTENCY = 0.5 / (1 - chi_square_tail(chi_square_quantile(0.5, D), D + 2))
+CUTOFF = round(chi_square_quantile(MISS, D), 6)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
@@ -65,9 +86,10 @@ def vector_columns() -> list[str]:
     return [f"CAST(round({SCALE}e0 * ({x})) AS BIGINT) AS z{i}" for i, x in enumerate(VECTOR)]
 
 
-def start_distance() -> str:
-    """Squared distance by coordinate-wise medians and quartile ranges."""
-    return " + ".join(f"pow((z{i} - m{i}) / greatest((u{i} - l{i}) / 1.349e0, {RIDGE[i]!r}e0), 2)" for i in range(D))
+def start_distances() -> list[str]:
+    """Squared distances from medians m in units of absolute deviations u: over all coordinates, and the largest."""
+    parts = [f"pow((z{i} - m{i}) / greatest(u{i} * 1.4826e0, {RIDGE[i]!r}e0), 2)" for i in range(D)]
+    return [" + ".join(parts), f"greatest({', '.join(parts)})"]
 
 
 def level(d2: str) -> str:
@@ -75,14 +97,22 @@ def level(d2: str) -> str:
     return f"CAST(floor(16e0 * ln(1e0 + {d2}) / ln(2e0)) AS INT)"
 
 
+LOWER = [(i, j) for i in range(D) for j in range(i + 1)]
+
+
 def moments() -> list[str]:
-    return ["count(*) AS n", *(f"sum(z{i}) AS s{i}" for i in range(D)), *(f"sum(z{i} * z{j}) AS s{i}{j}" for i in range(D) for j in range(i + 1))]
+    return ["count(*) AS n", *(f"sum(z{i}) AS s{i}" for i in range(D)), *(f"sum(z{i} * z{j}) AS s{i}{j}" for i, j in LOWER)]
+
+
+def covariance_stages() -> list[list[str]]:
+    """Columns that turn moments into the mean m and the ridged covariance v."""
+    mean = [f"s{i} * 1e0 / n AS m{i}" for i in range(D)]
+    return [mean, [f"{CONSISTENCY!r}e0 * (s{i}{j} * 1e0 / n - m{i} * m{j})" + (f" + {RIDGE[i] ** 2!r}e0" if i == j else "") + f" AS v{i}{j}" for i, j in LOWER]]
 
 
-def factor_stages(consistency: float = CONSISTENCY) -> list[list[str]]:
-    """Columns that turn moments into the mean m and the lower Cholesky factor c of the ridged covariance, in stages."""
-    stages = [[f"s{i} * 1e0 / n AS m{i}" for i in range(D)]]
-    stages.append([f"{consistency!r}e0 * (s{i}{j} * 1e0 / n - m{i} * m{j})" + (f" + {RIDGE[i] ** 2!r}e0" if i == j else "") + f" AS v{i}{j}" for i in range(D) for j in range(i + 1)])
+def factor_stages() -> list[list[str]]:
+    """The lower Cholesky factor c of v, a column at a time."""
+    stages = []
     for j in range(D):
         less = "".join(f" - c{j}{k} * c{j}{k}" for k in range(j))
         stages.append([f"sqrt(v{j}{j}{less}) AS c{j}{j}"])
@@ -91,66 +121,79 @@ def factor_stages(consistency: float = CONSISTENCY) -> list[list[str]]:
     return stages
 
 
+LOG_DET = " + ".join(f"2e0 * ln(c{j}{j})" for j in range(D))
+
+
+def shrunk() -> list[str]:
+    """m and v of a source (own), drawn towards its language's (lang), which is drawn towards all rows' (whole)."""
+    lang = lambda x: f"((lang.n * lang.{x} + {PRIOR_ROWS} * whole.{x}) / (lang.n + {PRIOR_ROWS}))"
+    return [f"(own.n * own.{x} + {PRIOR_ROWS} * {lang(x)}) / (own.n + {PRIOR_ROWS}) AS {x}" for x in (*(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in LOWER))]
+
+
 def distance_stages() -> list[list[str]]:
     """Forward substitution, then the squared Mahalanobis distance."""
     stages = [[f"(z{i} - m{i}" + "".join(f" - c{i}{k} * y{k}" for k in range(i)) + f") / c{i}{i} AS y{i}"] for i in range(D)]
     return [*stages, [" + ".join(f"y{i} * y{i}" for i in range(D)) + " AS d2"]]
 
 
-def _staged(df: DataFrame, stages: list[list[str]]) -> DataFrame:
-    for columns in stages:
-        df = df.selectExpr("*", *columns)
-    return df
-
-
-MODEL = [*(f"m{i}" for i in range(D)), *(f"c{i}{j}" for i in range(D) for j in range(i + 1))]
 Z = [f"z{i}" for i in range(D)]
+FIT = [*(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in LOWER), *(f"c{i}{j}" for i, j in LOWER)]
+#: Names of a source's, a language's and the whole estimate; the length in front keeps values with a slash apart.
+OF_LANG = "concat(length(of_lang), ':', of_lang)"
+NAMES = {"own": f"concat({OF_LANG}, '/', of_source)", "lang": OF_LANG, "whole": "''"}
 
 
 def _refit(near: DataFrame) -> DataFrame:
-    """g and the estimate from its h rows of least level q; the rows at the last level share what is left of h."""
-    upto = Window.partitionBy("g").orderBy("q")
-    levels = near.groupBy("g", "q").agg(F.count("*").alias("here")).select("g", "q", "here", (F.sum("here").over(upto) - F.col("here")).alias("below"), F.sum("here").over(Window.partitionBy("g")).alias("n"))
-    levels = levels.selectExpr("g", "q", "here", "below", f"least(n, (n + {D} + 1) div 2) AS h").where("below < h").selectExpr("g", "q", "least(1e0, (h - below) * 1e0 / here) AS share")
+    """g, start and the estimate from the h rows of least level q; rows at the last level share what is left of h."""
+    key = ["g", "start"]
+    upto = Window.partitionBy(*key).orderBy("q")
+    levels = near.groupBy(*key, "q").agg(F.count("*").alias("here")).select(*key, "q", "here", (F.sum("here").over(upto) - F.col("here")).alias("below"), F.sum("here").over(Window.partitionBy(*key)).alias("n"))
+    levels = levels.selectExpr(*key, "q", "here", "below", f"least(n, (n + {D} + 1) div 2) AS h").where("below < h").selectExpr(*key, "q", "least(1e0, (h - below) * 1e0 / here) AS share")
     # Integer sums by share; a group has two shares at most, so its weighted sums have no order either.
-    sums = near.join(levels, ["g", "q"]).groupBy("g", "share").agg(*[F.expr(x) for x in moments()])
+    sums = near.join(levels, [*key, "q"]).groupBy(*key, "share").agg(*[F.expr(x) for x in moments()])
     names = [x.rpartition(" AS ")[2] for x in moments()]
-    sums = sums.groupBy("g").agg(*[F.sum(F.col("share") * F.col(x)).alias(x) for x in names])
-    log_det = " + ".join(f"2e0 * ln(c{j}{j})" for j in range(D))
-    return _staged(sums, factor_stages(HALF_CONSISTENCY)).select("g", F.struct(*MODEL, F.expr(log_det).alias("log_det")).alias("fit"))
+    sums = sums.groupBy(*key).agg(*[F.sum(F.col("share") * F.col(x)).alias(x) for x in names])
+    return _staged(sums, covariance_stages() + factor_stages()).select(*key, F.struct(*FIT, F.expr(LOG_DET).alias("log_det")).alias("fit"))
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group g of the vectors, by minimum covariance determinant."""
-    middle = settle(rows.groupBy("g").agg(*[F.percentile(z, 0.5).alias(f"m{i}") for i, z in enumerate(Z)]), "medians")
+    """n, mean, covariance and its factor for each group g of the vectors, by minimum covariance determinant."""
+    middle = settle(rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile(z, 0.5).alias(f"m{i}") for i, z in enumerate(Z)]), "medians")
     spread = settle(rows.join(middle, "g").groupBy("g").agg(*[F.percentile(F.abs(F.col(z) - F.col(f"m{i}")), 0.5).alias(f"u{i}") for i, z in enumerate(Z)]), "deviations")
-    start = " + ".join(f"pow((z{i} - m{i}) / greatest(u{i} * 1.4826e0, {RIDGE[i]!r}e0), 2)" for i in range(D))
-    near = rows.join(middle.join(spread, "g"), "g").selectExpr("g", *Z, f"{level(start)} AS q")
+    levels = ", ".join(level(x) for x in start_distances())
+    near = rows.join(middle.join(spread, "g"), "g").selectExpr("g", *Z, f"posexplode(array({levels})) AS (start, q)")
     model = settle(_refit(near).withColumn("moved", F.lit(True)), "model")
     while model.where("moved").limit(1).count():
-        moving = model.where("moved").select("g", "fit.*")
-        near = _staged(rows.join(moving, "g"), distance_stages()).selectExpr("g", *Z, f"{level('d2')} AS q")
+        last, moving = model, model.where("moved").select("g", "start", "fit.*")
+        near = _staged(rows.join(moving, "g"), distance_stages()).selectExpr("g", "start", *Z, f"{level('d2')} AS q")
         better = F.coalesce(F.col("new.log_det") < F.col("fit.log_det") - STABLE, F.lit(False))
-        model = model.drop("moved").join(_refit(near).withColumnRenamed("fit", "new"), "g", "left")
-        model = settle(model.select("g", F.when(better, F.col("new")).otherwise(F.col("fit")).alias("fit"), better.alias("moved")), "model")
-    return model.select("g", *[f"fit.{x}" for x in MODEL])
+        model = model.drop("moved").join(_refit(near).withColumnRenamed("fit", "new"), ["g", "start"], "left")
+        model = settle(model.select("g", "start", F.when(better, F.col("new")).otherwise(F.col("fit")).alias("fit"), better.alias("moved")), "model")
+        discard(last)
+    best = model.groupBy("g").agg(F.min_by("fit", F.struct("fit.log_det", "start")).alias("fit"))
+    return settle(best.join(middle.select("g", "n"), "g").select("g", "n", *[f"fit.{x}" for x in FIT]), "estimates")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF, keep: list | tuple = ()) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS, keep: list | tuple = ()) -> DataFrame:
     """``keep``, doc_id, the statistics, base_failed, kept, d2 (squared distance; null where the base rules failed)."""
-    stats = settle(statistics(docs, id_col, text_col, tuple(keep)).selectExpr("*", f"{BASE_FAILED} AS base_failed"), "statistics")
-    good = stats.where("NOT base_failed").selectExpr("*", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source", *vector_columns())
-    counts = good.groupBy("of_lang", "of_source").agg(F.count("*").alias("n"))
-    # The length in front keeps names of values with a slash apart.
-    of_lang, of_source = "concat(length(of_lang), ':', of_lang)", "concat(length(of_lang), ':', of_lang, '/', of_source)"
-    langs = counts.groupBy("of_lang").agg(F.sum("n").alias("lang_n"))
-    groups = counts.join(langs, "of_lang").selectExpr("of_lang", "of_source", f"CASE WHEN n >= {LEAST_ROWS} THEN {of_source} WHEN lang_n >= {LEAST_ROWS} THEN {of_lang} ELSE '' END AS g")
-    groups = settle(groups, "groups")
-    # A row counts in each estimate that some group is measured by: its own group's, its language's and that of all rows.
-    within = groups.selectExpr("of_lang", "of_source", f"explode(array({of_source}, {of_lang}, '')) AS g").join(groups.select("g").distinct(), "g", "left_semi")
-    model = estimate(settle(good.join(within, ["of_lang", "of_source"]).select("g", *Z), "vectors"))
-    judged = stats.selectExpr("*", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source", *[f"CASE WHEN NOT base_failed THEN {c.rpartition(' AS ')[0]} END AS z{i}" for i, c in enumerate(vector_columns())])
-    judged = judged.join(groups, ["of_lang", "of_source"], "left").join(model, "g", "left")
-    d2 = _staged(judged, distance_stages())
+    cutoff = CUTOFF if miss == MISS else round(chi_square_quantile(miss, D), 6)
+    stats = settle(statistics(docs, id_col, text_col, tuple(keep)).selectExpr("*", f"{BASE_FAILED} AS base_failed", "coalesce(concat('=', lang), '') AS of_lang", "coalesce(concat('=', source), '') AS of_source"), "statistics")
+    good = stats.where("NOT base_failed").selectExpr("of_lang", "of_source", *vector_columns())
+    # A row counts in the estimates of its source, its language and all rows.
+    vectors = settle(good.selectExpr(f"explode(array({', '.join(NAMES.values())})) AS g", *Z), "vectors")
+    found = estimate(vectors)
+    discard(vectors)
+    groups = good.select("of_lang", "of_source").distinct()
+    for name, g in NAMES.items():
+        groups = groups.withColumn("g", F.expr(g)).join(found.select("g", F.struct("n", *FIT).alias(name)), "g").drop("g")
+    model = _staged(groups.selectExpr("of_lang", "of_source", *shrunk()), factor_stages())
+    model = settle(model.select("of_lang", "of_source", *(x for x in FIT if x[0] != "v")), "groups")
+    judged = stats.selectExpr("*", *[f"CASE WHEN NOT base_failed THEN {c.rpartition(' AS ')[0]} END AS z{i}" for i, c in enumerate(vector_columns())])
+    d2 = _staged(judged.join(model, ["of_lang", "of_source"], "left"), distance_stages())
     names = [f"own.{x}" for x in stats.select("own.*").columns[1:]]
     return d2.selectExpr(*names, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"NOT base_failed AND d2 <= {cutoff!r}e0 AS kept", "d2")
+
+
+def _staged(df: DataFrame, stages: list[list[str]]) -> DataFrame:
+    """Columns that build on each other, in one projection (later ones name earlier ones)."""
+    return df.selectExpr("*", *[c for columns in stages for c in columns])
