@@ -1,12 +1,13 @@
 """Mixing by iterative proportional fitting, then sampling with calibrated probabilities.
 
 Tokens (words) are summed by cell of source, language and topic. Cell weights are raked: scaled in turn so that each
-source's, language's and topic's weighted tokens meet its target share, for a fixed number of sweeps. A document is
-drawn with the probability min(1, c * weight) of its cell, where c makes the expected tokens ``budget`` of all; its
-design weight (weight over probability) makes the sample meet the targets in expectation. Targets are shares given
-by value, or the tokens' own shares to the power ``temper``. Documents only meet in sums with map-side combine, so
-a hot source costs no more than another; what iterates is the table of cells, on the driver if a count shows that it
-has at most DRIVER_CELLS rows, else as DataFrames, with equal results.
+source's, language's and topic's weighted tokens meet its target share, until all meet it to TOLERANCE. Targets that
+contradict each other have no solution, and some are only met in the limit: sweeps also end when one lessens the
+greatest error by less than a tenth. A document is drawn with the probability min(1, c * weight) of its cell, where c makes the expected
+tokens ``budget`` of all; its design weight (weight over probability) makes the sample meet the targets in
+expectation. Targets are shares given by value, or the tokens' own shares to the power ``temper``. Documents only meet
+in sums with map-side combine, so a hot source costs no more than another; what iterates is the table of cells, as
+DataFrames, and each sweep's table goes when the next is written.
 
 The topic is the text's form by the fixed patterns of ``topic_of``; pass a column to use another. A null text has no
 tokens and topic ``none``; null sources and languages are values of their own. The draw is a hash of seed and id: a
@@ -16,15 +17,12 @@ columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
-SWEEPS, CAP_ROUNDS, TEMPER, BUDGET, SEED = 8, 5, 0.7, 0.8, 23
-#: Tables of at most so many cells are swept in the driver's memory (some MB); larger ones as DataFrames.
-DRIVER_CELLS = 50_000
+TOLERANCE, TEMPER, BUDGET, SEED = 1e-9, 0.7, 0.8, 23
 KEYS = ("source", "lang", "topic")
 
 
@@ -42,7 +40,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return [F.col(id_col).cast("long").alias("mix_id"), named(F.col(source_col)).alias("mix_source"), named(F.col(lang_col)).alias("mix_lang"), (topic_of(text) if topic is None else named(topic)).alias("mix_topic"), words.alias("mix_tokens"), unit.alias("mix_unit")]
 
 
-def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, tolerance: float = TOLERANCE) -> DataFrame:
     """(mix_source, mix_lang, mix_topic, tokens, raked, probability) of each cell of rows with ``described`` columns."""
     keys = [f"mix_{k}" for k in KEYS]
     cells = settle(rows.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")).withColumn("raked", F.lit(1.0)), "cells")
@@ -55,37 +53,22 @@ def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, te
         margin = margin.withColumn("share", F.when(F.col("of_key") > 0, share).otherwise(0.0))
         whole = margin.agg(F.sum("share")).first()[0] or 1.0
         goals.append(settle(margin.select(key, (F.col("share") / whole * float(total)).alias("goal")), "goal"))
-    if cells.count() <= driver_cells:
-        cells, sweeps = _swept(cells, keys, goals, sweeps), 0
-    for _ in range(sweeps):
+    error, before = 1e9, 1e10
+    while tolerance < error < 0.9 * before:
+        swept = cells.select(*keys, "tokens", "raked", F.lit(0.0).alias("error"))
         for key, goal in zip(keys, goals):
-            now = cells.groupBy(key).agg(F.sum(F.col("tokens") * F.col("raked")).alias("now")).join(goal, key)
+            now = swept.groupBy(key).agg(F.sum(F.col("tokens") * F.col("raked")).alias("now")).join(goal, key)
             ratio = now.select(key, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("ratio"))
-            cells = cells.join(ratio, key).select(*keys, "tokens", (F.col("raked") * F.col("ratio")).alias("raked"))
-        cells = settle(cells, "cells")
-    c = budget
-    for _ in range(CAP_ROUNDS):
-        capped = F.col("raked") * c >= 1
+            swept = swept.join(ratio, key).select(*keys, "tokens", (F.col("raked") * F.col("ratio")).alias("raked"), F.greatest("error", F.abs(F.col("ratio") - 1)).alias("error"))
+        last, cells = cells, settle(swept, "cells")
+        error, before = cells.agg(F.max("error")).first()[0] or 0.0, error
+        discard(last)
+    c, before = budget, 0.0
+    while c > before * (1 + 1e-12):
+        capped, before = F.col("raked") * c >= 1, c
         free, full = cells.agg(F.sum(F.when(~capped, F.col("tokens") * F.col("raked"))), F.sum(F.when(capped, F.col("tokens")))).first()
         c = max(c, (budget * total - (full or 0)) / free) if free else c
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("raked") * F.lit(float(c))))
-
-
-def _swept(cells: DataFrame, keys: list[str], goals: list[DataFrame], sweeps: int) -> DataFrame:
-    """All sweeps over a small table of cells; its count was checked."""
-    rows = cells.toPandas().sort_values(keys, ignore_index=True)
-    tokens, raked = rows["tokens"].to_numpy(float), np.ones(len(rows))
-    codes = []
-    for key, goal in zip(keys, goals):
-        names, code = np.unique(rows[key].to_numpy(str), return_inverse=True)
-        wanted = {r[key]: r["goal"] for r in goal.collect()}  # at most a row a cell
-        codes.append((code, np.array([wanted[k] for k in names])))
-    for _ in range(sweeps):
-        for code, wanted in codes:
-            now = np.bincount(code, tokens * raked, minlength=len(wanted))
-            raked *= np.where(now > 0, wanted / np.where(now > 0, now, 1), 1.0)[code]
-    rows["raked"] = raked
-    return settle(cells.sparkSession.createDataFrame(rows, cells.schema), "cells")
+    return cells.drop("error").withColumn("probability", F.least(F.lit(1.0), F.col("raked") * F.lit(float(c))))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -102,6 +85,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The documents drawn, with all their columns."""
     keys = [f"mix_{k}" for k in KEYS]
+    described_ = settle(docs.select(*described(docs)), "described")
+    model = rake(described_, **options).select(*keys, "probability")
+    discard(described_)
     rows = docs.select(F.struct("*").alias("doc"), *described(docs))
-    model = rake(settle(docs.select(*described(docs)), "described"), **options)
-    return rows.join(model.select(*keys, "probability"), keys).where("mix_unit < probability").select("doc.*")
+    return rows.join(model, keys).where("mix_unit < probability").select("doc.*")
