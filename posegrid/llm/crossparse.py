@@ -4,10 +4,15 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 in the language's text (a symbol that it lacks is a phrase of its own); the language that needs the fewest phrases a
 symbol wins. Symbols are UTF-8 bytes with letters lower-cased and white space, digits and other ASCII folded
 together. A missing transition ends a phrase and starts at the root with the same symbol, so each automaton is one
-dense table, and many blocks of BLOCK symbols are parsed at once; a phrase never crosses a block.
+dense table. Many blocks of a batch are parsed at once, each as if a phrase began with it; then each block that began
+within a phrase is parsed again from the state in which the block before it ended, until both parses are in one
+state, which takes a phrase or two. The result is that of one parse of the whole text, whatever the blocks.
 
-Model: a bounded sample of labelled rows, ``sample_bytes`` of text for each language at most, from texts of at most
-``part_chars`` characters each (both parameters); counts cover all rows. Prediction reads whole texts only.
+Model: a bounded sample of labelled rows, at most ``sample_bytes`` of text for each language and ``total_bytes`` for all
+(more languages than total_bytes / sample_bytes get equal parts of it), from texts of at most ``part_chars`` characters
+each, for the ``most_languages`` with most rows (all parameters; other languages are not learned). So a worker's
+automata take at most 8 * N_SYMBOLS bytes for each byte of the total, and about 200 MB with letters of one script.
+Counts cover all rows; equal rows and texts of one id are sampled once. Prediction reads whole texts only.
 
 A null text, or one without a letter, is ``und`` with score 0. If no row can be learned from, all texts are ``und``.
 Ties go to the language first in order. Repeated rows and null or repeated ids are predicted row by row. Extra
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, text_bytes, text_slices
 
-SAMPLE_BYTES, PART_CHARS, DOCS, BLOCK, MOST_LANGUAGES = 32_768, 1_000, 200, 1_024, 500
+SAMPLE_BYTES, TOTAL_BYTES, PART_CHARS, DOCS, BLOCK, MOST_LANGUAGES = 32_768, 1 << 20, 1_000, 200, 1_024, 1_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -96,58 +101,82 @@ def machines(samples: tuple[tuple[str, bytes], ...]) -> list[tuple[np.ndarray, i
     return tables
 
 
-def phrases(machine, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Phrases of each block ``data[start:end]``; blocks are sorted by length, longest first."""
-    table, width, column = machine
-    symbols = column[data].astype(np.int32)
-    state, count = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
-    lengths = ends - starts
-    alive = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right") if len(lengths) else []
-    for t, n in enumerate(alive):
-        to = table[state[:n] * np.int32(width) + symbols[starts[:n] + t]]
+def _run(machine, symbols, at: np.ndarray, ends: np.ndarray, state: np.ndarray, trace: np.ndarray, begins: np.ndarray, until_equal: bool) -> np.ndarray:
+    """Parse blocks from ``state``, writing each symbol's state and whether a phrase begins there.
+
+    With ``until_equal`` a block stops where its state is the one written before; returns which blocks ran to their
+    end. Blocks are sorted by length, longest first.
+    """
+    table, width, _ = machine
+    through = np.zeros(len(at), bool)
+    alive = np.arange(len(at))
+    at, state = at.copy(), state.copy()
+    while len(alive):
+        spot = at[alive]
+        now = state[alive]
+        to = table[now * np.int32(width) + symbols[spot]]
         broke = to < 0
-        count[:n] += broke | (state[:n] == 0)  # a phrase begins at a break, and at the root
-        state[:n] = np.where(broke, -to - 1, to)
-    return count
+        begins[spot] = broke | (now == 0)  # a phrase begins at a break, and at the root
+        to = np.where(broke, -to - 1, to)
+        same = trace[spot] == to if until_equal else False
+        trace[spot] = state[alive] = to
+        at[alive] += 1
+        done = at[alive] == ends[alive]
+        through[alive[done & ~same] if until_equal else alive[done]] = True
+        alive = alive[~(done | same)]
+    return through
+
+
+def phrases(machine, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Phrases of each text ``data[offsets[i]:offsets[i + 1]]``, by the greedy parse of the whole text."""
+    symbols = machine[2][data].astype(np.int32)
+    lengths = np.diff(offsets)
+    blocks = -(-lengths // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    text = np.repeat(np.arange(len(lengths)), blocks)
+    starts = offsets[:-1][text] + (np.arange(len(text)) - first[text]) * BLOCK
+    ends = np.minimum(starts + BLOCK, offsets[1:][text])
+    trace, begins = np.zeros(len(data), np.int32), np.zeros(len(data), bool)
+    order = np.argsort(starts - ends, kind="stable")
+    _run(machine, symbols, starts[order], ends[order], np.zeros(len(text), np.int32), trace, begins, False)
+    again = np.flatnonzero(starts > offsets[:-1][text])
+    while len(again):
+        through = _run(machine, symbols, starts[again], ends[again], trace[starts[again] - 1], trace, begins, True)
+        again = again[through] + 1
+        again = again[(again < len(text))]
+        again = again[starts[again] > offsets[:-1][text[again]]]
+    sums = np.concatenate([[0], np.cumsum(begins)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
 def rates(samples, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Phrases a byte of each text (row) in each language (column)."""
-    lengths = np.diff(offsets)
-    blocks = -(-lengths // BLOCK)
-    row = np.repeat(np.arange(len(lengths)), blocks)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    starts = offsets[row] + nth * BLOCK
-    ends = np.minimum(starts + BLOCK, offsets[row + 1])
-    order = np.argsort(starts - ends, kind="stable")
-    out = np.zeros((len(lengths), len(samples)))
-    for k, machine in enumerate(machines(samples)):
-        out[:, k] = np.bincount(row[order], phrases(machine, data, starts[order], ends[order]), minlength=len(lengths))
-    return out / np.maximum(lengths, 1)[:, None]
+    counts = [phrases(machine, data, offsets) for machine in machines(samples)]
+    return np.stack(counts, axis=1) / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES, part_chars: int = PART_CHARS) -> tuple[tuple[str, bytes], ...]:
-    """Samples of each language from rows that are not held out: about DOCS rows by the smallest hash of the id."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES, part_chars: int = PART_CHARS, most_languages: int = MOST_LANGUAGES) -> tuple[tuple[str, bytes], ...]:
+    """Samples of each language from rows that are not held out: about DOCS texts by the smallest hash of id and text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages: {MOST_LANGUAGES} automata are the most a worker holds")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return ()
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, DOCS / n))) for k, n in counts.items()])
+    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, DOCS / r["n"]))) for r in counts])
     middle = F.substr("text", F.greatest(F.lit(1), ((F.length("text") - part_chars) / 2).cast("int")), F.lit(part_chars))
-    picked = rows.withColumn("unit", unit).where(F.col("unit") < share).select("lang", "unit", middle.alias("text")).where("text rlike '\\\\p{L}'")
+    picked = rows.withColumn("unit", unit).where(F.col("unit") < share).select("lang", "unit", middle.alias("text")).where("text rlike '\\\\p{L}'").distinct()
     texts: dict[str, list] = {}
     for r in picked.collect():  # about DOCS * part_chars characters a language
         texts.setdefault(r["lang"], []).append((r["unit"], r["text"]))
-    return tuple((k, "\n".join(t for _, t in sorted(v)).encode()[:sample_bytes]) for k, v in sorted(texts.items()))
+    most = min(sample_bytes, total_bytes // len(texts)) if texts else 0
+    return tuple((k, "\n".join(t for _, t in sorted(v)).encode()[:most]) for k, v in sorted(texts.items()))
 
 
 def identify(docs: DataFrame, samples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (1 - phrases of the best over those of the next, 0 to 1)."""
     names = [k for k, _ in samples]
+    own = docs.sparkSession.sparkContext.broadcast(samples)  # at most ``total_bytes`` of text
 
     def run(batches):
         for part in text_slices(batches, most=1 << 21):
@@ -162,7 +191,7 @@ def identify(docs: DataFrame, samples, id_col: str = "doc_id", text_col: str = "
             n = part.num_rows
             best, score = np.full(n, -1), np.zeros(n)
             if names:
-                rate = rates(samples, data, offsets)
+                rate = rates(own.value, data, offsets)
                 best = np.argmin(rate, axis=1)
                 low = rate[np.arange(n), best]
                 rate[np.arange(n), best] = np.inf
