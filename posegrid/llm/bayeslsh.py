@@ -9,9 +9,13 @@ candidate pair that could join two components goes untested. A pair is compared
 and dropped once the posterior probability that its similarity reaches the threshold (uniform prior) falls below
 ``miss``; survivors are confirmed on full sets.
 
-Null or empty texts have no set and link with nothing. Rows without an id link with nothing and are kept. Rows that
-repeat an id with another text count as separate documents of that id. Extra columns are not read. An empty table
-gives no rows.
+Null or empty texts have no set and link with nothing. Rows that repeat an id with another text are documents of
+their own. Rows without an id link like others: they go if a member of their component has an id; if none has,
+component_id is null and one class of equal sets stays. Equal rows are kept or dropped alike. Extra columns are not
+read. An empty table gives no rows.
+
+Hot keys: a class's rows meet in one aggregate with map-side combine, and find their component by a broadcast of the
+classes that hold over a thousandth of all rows (so a thousand at most), all others by a shuffled join.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, settle, text_bytes, text_slices, word_hashes
+from .common import discard, mixed, settle, text_bytes, text_slices, word_hashes
 from .graph import connected_components
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 16, 1e-7, 256
@@ -107,9 +111,9 @@ def _sketches(words: int):
             bands = mixed((signature.reshape(n, BANDS, ROWS).astype(np.uint64) * _STEP[:ROWS]).sum(axis=2) + _STEP[:BANDS])
             rows = np.arange(0, n + 1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(at).astype(np.int64)), *(pa.array(k.view(np.int64)) for k in keys),
+                [part.column(0), part.column(2), pa.array(np.diff(at).astype(np.int64)), *(pa.array(k.view(np.int64)) for k in keys),
                  pa.array([s.tobytes() for s in signature], pa.binary()), pa.ListArray.from_arrays(pa.array(rows * BANDS), pa.array(bands.view(np.int64).ravel()))],
-                names=["doc_id", "n_shingles", "key1", "key2", "signature", "bands"])
+                names=["doc_id", "own", "n_shingles", "key1", "key2", "signature", "bands"])
 
     return sketch
 
@@ -118,23 +122,37 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the documents in ``ids``, found once and written, so that no later join moves other texts."""
-    return settle(docs.join(settle(ids.distinct(), "wanted"), "doc_id", "left_semi"), "texts")
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """What tells documents apart, null-safe: the id and a digest of the text."""
+    return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("key_id"), F.xxhash64(text).alias("key_text")]
+
+
+def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the ``wanted`` nodes, found once and written, so that no later join moves other texts."""
+    keys = settle(nodes.select("node", "rep.*").join(wanted.distinct(), "node"), "wanted")
+    found = rows.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(keys, ["key_id", "key_text"])
+    return settle(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def _text_of(texts: DataFrame, node: str, text: str) -> DataFrame:
-    return texts.select(F.col("doc_id").alias(node), F.col("text").alias(text))
+    return texts.select(F.col("node").alias(node), F.col("text").alias(text))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, num: int = 80, den: int = 100, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links of similarity >= num/den), kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = settle(rows.mapInArrow(_sketches(words), "doc_id long, n_shingles long, key1 long, key2 long, signature binary, bands array<long>"), "sketches")
-    live = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    # A class's smallest row has its signature; equal sets have equal ones.
-    nodes = settle(live.join(classes.withColumnRenamed("node", "doc_id"), ["key1", "key2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"]).select(F.col("doc_id").alias("node"), "signature", "bands"), "nodes")
+    return grouped(docs, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, miss: float = MISS, block: int = BLOCK, keep: list | tuple = ()) -> DataFrame:
+    """``keep``, doc_id, n_shingles, component (a number; null: linked with no other row), component_id, kept."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *keep).alias("own"), F.struct(*row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).alias("rep"))
+    own = rows.select(F.struct("own", "rep").alias("own")).schema["own"].dataType.simpleString()
+    given = rows.select("doc_id", "text", F.struct("own", "rep").alias("own"))
+    sketches = settle(given.mapInArrow(_sketches(words), f"doc_id long, own {own}, n_shingles long, key1 long, key2 long, signature binary, bands array<long>").select("doc_id", "own.*", "n_shingles", "key1", "key2", "signature", "bands"), "sketches")
+    keys = ["key1", "key2", "n_shingles"]
+    # Equal sets have equal signatures; any row of a class can stand for its text.
+    classes = sketches.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"), F.min("rep").alias("rep"), F.first(F.struct("signature", "bands")).alias("s"))
+    nodes = settle(classes.select(F.monotonically_increasing_id().alias("node"), *keys, "least_id", "n_rows", "rep", "s.*"), "nodes")
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -154,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield batch.select(["hub", "node"]).filter(pa.array(hit))
 
     survivors = settle(tested.select("hub", "node", "signature", "other").mapInArrow(prune, "hub long, node long"), "survivors")
-    wanted = _texts(rows, survivors.select(F.explode(F.array("hub", "node")).alias("doc_id")))
+    wanted = _texts(rows, nodes, survivors.select(F.explode(F.array("hub", "node")).alias("node")))
 
     def confirm(batches):
         kept: tuple = (None, None)
@@ -170,17 +188,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = survivors.join(_text_of(wanted, "node", "text"), "node").join(_text_of(wanted, "hub", "other"), "hub").select("hub", "node", "text", "other")
     links = settle(texts.mapInArrow(confirm, "hub long, node long"), "links")
-    rest = settle(_rest_links(rows, pairs, connected_components(links, "hub", "node"), signed, least, words, num, den, block), "rest-links")
+    rest = settle(_rest_links(rows, nodes, pairs, connected_components(links, "hub", "node"), signed, least, words, num, den, block), "rest-links")
     found = connected_components(links.union(rest), "hub", "node")
 
-    linked = live.join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "key1", "key2", "node").distinct()
-    apart = linked.join(found, "node", "left").select("doc_id", "key1", "key2", F.coalesce("component", "node").alias("component_id")).where("component_id != doc_id")
-    joined = sketches.select("doc_id", "n_shingles", "key1", "key2").join(apart, ["doc_id", "key1", "key2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    discard(crowded, wanted)
+
+    placed = nodes.select("node", *keys, "least_id", "n_rows").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("n_rows").alias("of_component")).where("of_component > 1")
+    placed = settle(placed.join(whole, "component").select(*keys, "n_rows", "component", "component_id", (F.col("node") == F.col("component")).alias("leads")), "placed")
+    hot = F.col("n_rows") * 1000 > sketches.count()
+    few, placed = F.broadcast(placed.where(hot).drop("n_rows")), placed.where(~hot).drop("n_rows")
+    narrow = sketches.select("own", "doc_id", *keys)
+    empty = narrow.where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("leads"))
+    filled = narrow.where("n_shingles > 0")
+    joined = filled.join(few, keys).unionByName(filled.join(few.select(*keys), keys, "left_anti").join(placed, keys, "left")).unionByName(empty)
+    stays = F.when(F.col("component").isNull(), True).when(F.col("doc_id").isNull(), F.col("component_id").isNull() & F.col("leads")).otherwise(F.col("component_id") == F.col("doc_id"))
+    names = [f"own.{x}" for x in sketches.select("own.*").columns[1:]]
+    return joined.select(*names, "doc_id", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), stays.alias("kept"))
 
 
-def _rest_links(rows, pairs, components, signed, least, words, num, den, block) -> DataFrame:
+def _rest_links(rows, nodes, pairs, components, signed, least, words, num, den, block) -> DataFrame:
     """Links between components that no hub joined: members outside the hub's component against all others of its group."""
     members = pairs.union(pairs.select("hub", F.col("hub").alias("node")).distinct())
     of_node = components.select("node", "component")
@@ -238,5 +265,5 @@ def _rest_links(rows, pairs, components, signed, least, words, num, den, block)
 
     kind = "hub long, node long, component long, core boolean, x long, y long, kind int, signature binary"
     keep = settle(dealt.select("hub", "node", "component", "core", "x", "y", "kind", "signature").groupBy("hub", "x", "y", "kind").applyInArrow(worth, kind), "worth")
-    wanted = _texts(rows, keep.select(F.col("node").alias("doc_id")))
+    wanted = _texts(rows, nodes, keep.select("node"))
     return keep.join(_text_of(wanted, "node", "text"), "node").groupBy("hub", "x", "y", "kind").applyInArrow(links, "hub long, node long")

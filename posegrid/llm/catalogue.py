@@ -47,7 +47,7 @@ def op8_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bayes_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bayeslsh.near_duplicates(table(spark, sf_dir, "documents"))
+    return bayeslsh.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

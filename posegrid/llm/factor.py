@@ -8,16 +8,18 @@ on a bounded sample of labelled rows (about ``sample`` by the smallest hash of t
 A null text counts as empty; empty texts have their statistics alone and are scored like others. Labels without a
 value are not learned from; of several for a document the lowest counts. If nothing can be learned, all scores are
 those of the untrained model. Repeated rows and null or repeated ids are scored row by row. Extra columns are not
-read. An empty table gives no rows.
+read. An empty table gives no rows. Of a repeated id's rows the one of the least text is learned from, so the driver gets
+``sample`` vectors at most, of 128 KB at most each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_bytes, text_slices, word_hashes, word_starts
@@ -126,7 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     share = min(1.0, sample / max(1, rows.count()))
     picked = rows.where(unit < share)  # about ``sample`` rows of two numbers
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
     def run(batches):
         for part in text_slices(batches):
@@ -140,18 +143,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return train([(float(r["y"]), np.frombuffer(r["column"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found])
 
 
+def probability(spark: SparkSession, machine: Machine) -> Callable[[Column], Column]:
+    """The chance that a text (a column) is good; only the texts go to Python, and only numbers come back."""
+    own = spark.sparkContext.broadcast(machine)  # WIDTH * (RANK + 1) floats, whatever the input
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for part in text_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
+            row, column, value = features(part.column(0))
+            out.append(1 / (1 + np.exp(-np.clip(own.value.logits(row, column, value, part.num_rows), -30, 30))))
+        return pa.array(np.concatenate(out))
+
+    return run
+
+
 def score(docs: DataFrame, machine: Machine, least: float = 0.7, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted; columns named in ``keep`` stay beside them."""
-    own = docs.sparkSession.sparkContext.broadcast(machine)  # WIDTH * (RANK + 1) floats, whatever the input
-
-    def run(batches):
-        for part in text_slices(batches):
-            row, column, value = features(part.column(1))
-            logit = own.value.logits(row, column, value, part.num_rows)
-            p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p), pa.array((p >= least).astype(np.int32)), *part.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *part.schema.names[3:]])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"), *[F.col(k).alias(f"kept_{i}") for i, k in enumerate(keep)])
-    types = "".join(f", kept_{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + types)
-    return out.select("doc_id", "held_out", "score", "predicted", *[F.col(f"kept_{i}").alias(k) for i, k in enumerate(keep)])
+    p = probability(docs.sparkSession, machine)(F.col(text_col).cast("string"))
+    own = [F.col(k).alias(f"kept_{i}") for i, k in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), p.alias("score"), *own)
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"), *[F.col(f"kept_{i}").alias(k) for i, k in enumerate(keep)])

@@ -41,7 +41,7 @@ def brute(rows):
 
 def check(spark, rows, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = bayeslsh.near_duplicates(df, **options).collect()
+    got = bayeslsh.near_duplicates(df, words=4, **options).collect()
     assert len(got) == len(rows)
     want = brute(rows)
     for r in got:
@@ -53,11 +53,11 @@ def check(spark, rows, **options):
 
 
 def test_edge_cases(spark, docs, rows, nothing):
-    got = {r["doc_id"]: r for r in bayeslsh.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r for r in bayeslsh.near_duplicates(docs, words=4).collect()}
     want = brute([(r[0], r[1]) for r in rows])
     assert {i: (got[i]["n_shingles"], got[i]["component_id"]) for i in want} == want
-    assert bayeslsh.near_duplicates(docs).count() == len(rows)
-    assert bayeslsh.near_duplicates(nothing).count() == 0
+    assert bayeslsh.near_duplicates(docs, words=4).count() == len(rows)
+    assert bayeslsh.near_duplicates(nothing, words=4).count() == 0
 
 
 @pytest.mark.parametrize("block", [8, 256])
@@ -98,3 +98,27 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: u.top(x) for x in list(u)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_with_several_texts_and_rows_without_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(2, a), (2, b), (1, b), (7, c), (7, c), (None, c), (None, a + " x"), (None, "d e f g h i"), (None, "d e f g h i"), (9, None), (9, "")]
+    got = sorted(map(str, ((r["doc_id"], r["component_id"], r["kept"]) for r in bayeslsh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    want = [(2, 2, True), (2, 1, False), (1, 1, True), (7, 7, True), (7, 7, True), (None, 7, False), (None, 2, False), (None, None, True), (None, None, True), (9, 9, True), (9, 9, True)]
+    assert got == sorted(map(str, want))
+
+
+def test_one_large_group_around_no_centre(spark):
+    """Copies of a page whose variants drift apart in four directions, beside a class of many equal rows."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for way in range(4):
+        text = list(base)
+        for i in range(60):
+            text[(way * 30 + i) % 120] = f"v{way}x{i}"
+            own = list(text)
+            own[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000 + i, " ".join(base)) for i in range(150)]
+    check(spark, rows)
