@@ -143,8 +143,8 @@ OF_LANG = "concat(length(of_lang), ':', of_lang)"
 NAMES = {"own": f"concat({OF_LANG}, '/', of_source)", "lang": OF_LANG, "whole": "''"}
 
 
-def _refit(near: DataFrame) -> DataFrame:
-    """g, start and the estimate from the h rows of least level q; rows at the last level share what is left of h."""
+def _moments(near: DataFrame) -> DataFrame:
+    """Moments of the h rows of least level q by g and start; rows at the last level share what is left of h."""
     key = ["g", "start"]
     upto = Window.partitionBy(*key).orderBy("q")
     levels = near.groupBy(*key, "q").agg(F.count("*").alias("here")).select(*key, "q", "here", (F.sum("here").over(upto) - F.col("here")).alias("below"), F.sum("here").over(Window.partitionBy(*key)).alias("n"))
@@ -152,8 +152,15 @@ def _refit(near: DataFrame) -> DataFrame:
     # Integer sums by share; a group has two shares at most, so its weighted sums have no order either.
     sums = near.join(levels, [*key, "q"]).groupBy(*key, "share").agg(*[F.expr(x) for x in moments()])
     names = [x.rpartition(" AS ")[2] for x in moments()]
-    sums = sums.groupBy(*key).agg(*[F.sum(F.col("share") * F.col(x)).alias(x) for x in names])
-    return _staged(sums, covariance_stages() + factor_stages()).select(*key, F.struct(*FIT, F.expr(LOG_DET).alias("log_det")).alias("fit"))
+    return sums.groupBy(*key).agg(*[F.sum(F.col("share") * F.col(x)).alias(x) for x in names])
+
+
+def _refit(near: DataFrame) -> DataFrame:
+    """g, start and the estimate from the nearest rows; each step is written, so that no plan holds the next one's."""
+    near = settle(near, "near")
+    sums = settle(_moments(near), "moments")
+    discard(near)
+    return _staged(sums, covariance_stages() + factor_stages()).select("g", "start", F.struct(*FIT, F.expr(LOG_DET).alias("log_det")).alias("fit"))
 
 
 def estimate(rows: DataFrame) -> DataFrame:
@@ -164,14 +171,14 @@ def estimate(rows: DataFrame) -> DataFrame:
     near = rows.join(middle.join(spread, "g"), "g").selectExpr("g", *Z, f"posexplode(array({levels})) AS (start, q)")
     model = settle(_refit(near).withColumn("moved", F.lit(True)), "model")
     while model.where("moved").limit(1).count():
-        last, moving = model, model.where("moved").select("g", "start", "fit.*")
+        last, moving = model, model.where("moved").select("g", "start", *[f"fit.{x}" for x in FIT if x[0] != "v"])
         near = _staged(rows.join(moving, "g"), distance_stages()).selectExpr("g", "start", *Z, f"{level('d2')} AS q")
         better = F.coalesce(F.col("new.log_det") < F.col("fit.log_det") - STABLE, F.lit(False))
         model = model.drop("moved").join(_refit(near).withColumnRenamed("fit", "new"), ["g", "start"], "left")
         model = settle(model.select("g", "start", F.when(better, F.col("new")).otherwise(F.col("fit")).alias("fit"), better.alias("moved")), "model")
         discard(last)
     best = model.groupBy("g").agg(F.min_by("fit", F.struct("fit.log_det", "start")).alias("fit"))
-    return settle(best.join(middle.select("g", "n"), "g").select("g", "n", *[f"fit.{x}" for x in FIT]), "estimates")
+    return settle(best.join(middle.select("g", "n"), "g").select("g", "n", *[f"fit.{x}" for x in FIT if x[0] != "c"]), "estimates")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS, keep: list | tuple = ()) -> DataFrame:
@@ -185,7 +192,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss:
     discard(vectors)
     groups = good.select("of_lang", "of_source").distinct()
     for name, g in NAMES.items():
-        groups = groups.withColumn("g", F.expr(g)).join(found.select("g", F.struct("n", *FIT).alias(name)), "g").drop("g")
+        groups = groups.withColumn("g", F.expr(g)).join(found.select("g", F.struct(*found.columns[1:]).alias(name)), "g").drop("g")
     model = _staged(groups.selectExpr("of_lang", "of_source", *shrunk()), factor_stages())
     model = settle(model.select("of_lang", "of_source", *(x for x in FIT if x[0] != "v")), "groups")
     judged = stats.selectExpr("*", *[f"CASE WHEN NOT base_failed THEN {c.rpartition(' AS ')[0]} END AS z{i}" for i, c in enumerate(vector_columns())])
