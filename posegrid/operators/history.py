@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 ORDER = ("us", "event_id")
 
 
@@ -49,29 +54,52 @@ def keep_top(frames: DataFrame, idle_us: int, most: int) -> DataFrame:
     return by.crossJoin(F.broadcast(newest)).where(F.col("newest") - F.col("last_us") <= idle_us).drop("newest").orderBy(F.desc("confidence"), "key").limit(most).orderBy("first_us", F.desc("confidence"), "key")
 
 
+def ordered_pass(frames: DataFrame, columns: list[str], keep: Callable) -> DataFrame:
+    """Frames that ``keep(state, row)`` takes, in order within a key; it returns (taken, new state), from None on.
+
+    One shuffle by key and one sort; frames then stream through in Arrow batches with the state of one key, so neither
+    a key's length nor what is kept of it is held in memory.
+    """
+    ship(frames.sparkSession)
+    rows = frames.select("key", *ORDER, *columns).repartition("key").sortWithinPartitions("key", *ORDER)
+
+    def run(batches):
+        last, state = None, None
+        for batch in batches:
+            taken = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != last or state is None:
+                    last, state = row[0], None
+                yes, state = keep(state, row)
+                taken.append(yes)
+            yield batch.filter(pa.array(taken, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def capped_mean(frames: DataFrame, cap: int) -> DataFrame:
-    """Running mean whose count stops at ``cap``: an ordered fold over each key's frames."""
-    step = F.struct
-    rows = frames.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "depth"))).alias("frames"))
-    fold = F.aggregate("frames", step(F.lit(0.0).alias("mean"), F.lit(0).alias("n")), lambda s, x: step(((s["mean"] * s["n"] + x["depth"]) / (s["n"] + 1)).alias("mean"), F.least(s["n"] + 1, F.lit(cap)).alias("n")))
-    return rows.select("key", F.size("frames").cast("long").alias("n_frames"), fold.alias("f")).select("key", "n_frames", F.col("f.mean").alias("mean"))
+    """Running mean whose count stops at ``cap``, after each key's last frame.
+
+    Once the count stands, each frame weighs cap / (cap + 1) of the one after it: the mean is a weighted sum by the
+    frame's place, so it needs two windows over the key's sort and no fold.
+    """
+    w = Window.partitionBy("key")
+    rows = frames.withColumn("k", F.row_number().over(w.orderBy(*ORDER))).withColumn("n", F.count("*").over(w))
+    # The first cap + 1 frames weigh alike (1 / (cap + 1) after frame cap + 1); each later one decays those before it.
+    first = F.least(F.col("n"), F.lit(cap + 1))
+    share = F.when(F.col("k") <= first, 1.0 / first).otherwise(F.lit(1.0 / (cap + 1)))
+    weight = share * F.pow(F.lit(cap / (cap + 1)), F.col("n") - F.greatest(F.col("k").cast("long"), first))
+    return rows.groupBy("key").agg(F.count("*").alias("n_frames"), F.sum(F.col("depth") * weight).alias("mean"))
 
 
 def time_step_sample(frames: DataFrame, step_us: int) -> DataFrame:
-    """Frames at least ``step_us`` after the last one kept: an ordered fold over each key's frames."""
-    rows = frames.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*ORDER))).alias("frames"))
-    empty = F.array().cast("array<struct<us:bigint,event_id:bigint>>")
-    fold = F.aggregate("frames", empty, lambda kept, x: F.when((F.size(kept) == 0) | (x["us"] - F.get(kept, F.size(kept) - 1)["us"] >= step_us), F.concat(kept, F.array(x))).otherwise(kept))
-    return rows.select("key", F.explode(fold).alias("x")).select("key", "x.*")
+    """Frames at least ``step_us`` after the last one kept."""
+    return ordered_pass(frames, [], lambda at, row: (True, row[1]) if at is None or row[1] - at >= step_us else (False, at))
 
 
 def changed_frames(frames: DataFrame, least: float) -> DataFrame:
     """Frames that differ from the last kept one by a share of ``least`` or more; the first is kept."""
-    rows = frames.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "depth"))).alias("frames"))
-    empty = F.array().cast("array<struct<us:bigint,event_id:bigint,depth:double>>")
-    last = lambda kept: F.get(kept, F.size(kept) - 1)["depth"]
-    fold = F.aggregate("frames", empty, lambda kept, x: F.when((F.size(kept) == 0) | (F.abs(x["depth"] - last(kept)) >= least * last(kept)), F.concat(kept, F.array(x))).otherwise(kept))
-    return rows.select("key", F.explode(fold).alias("x")).select("key", "x.*")
+    return ordered_pass(frames, ["depth"], lambda at, row: (True, row[3]) if at is None or abs(row[3] - at) >= least * at else (False, at))
 
 
 def bracketed(requests: DataFrame, frames: DataFrame) -> DataFrame:

@@ -70,9 +70,9 @@ def length_violation(rows: DataFrame, limits: DataFrame, factor: float = 1.1) ->
 def skeleton_difference(joints: DataFrame) -> DataFrame:
     """Mean distance between a frame's joints and the same joints of the frame before, where both have equal validity.
 
-    Two invalid joints count as distance 0.
+    Two invalid joints count as distance 0. A frame's person is its label.
     """
-    w = Window.partitionBy("joint").orderBy("frame_id")
+    w = Window.partitionBy("label", "joint").orderBy("frame_id")
     before = {c: F.lag(c).over(w) for c in ("frame_id", "valid", "x", "y", "z")}
     rows = joints.select("frame_id", "joint", "valid", "x", "y", "z", *[v.alias(f"b_{k}") for k, v in before.items()]).where("b_frame_id is not null and valid = b_valid")
     d = F.when(F.col("valid"), distance([F.col(c) for c in "xyz"], [F.col(f"b_{c}") for c in "xyz"])).otherwise(0.0)
@@ -81,7 +81,7 @@ def skeleton_difference(joints: DataFrame) -> DataFrame:
 
 def reliability(joints: DataFrame, frames: int = 6, sigma2: float = 0.25) -> DataFrame:
     """Gaussian-weighted share of the last frames in which a joint was valid; invalid joints of the mean count as 0."""
-    w = Window.partitionBy("joint").orderBy("frame_id")
+    w = Window.partitionBy("label", "joint").orderBy("frame_id")
     weights = [2.718281828459045 ** (-((k / frames) ** 2) / (2 * sigma2)) for k in range(frames)]
     terms = [F.coalesce(F.lag(F.col("valid").cast("double"), k).over(w), F.lit(0.0)) * g for k, g in enumerate(weights)]
     score = sum(terms[1:], terms[0]) / sum(weights)
@@ -184,12 +184,12 @@ def kinematic_ratio(length: Column, mean: Column) -> Column:
 
 
 def repaired_rotations(rows: DataFrame, means: DataFrame, radius: float) -> DataFrame:
-    """Bone rotations farther than ``radius`` degrees from the bone's mean take its last one within it."""
+    """Bone rotations farther than ``radius`` degrees from the bone's mean take the person's (label's) last one within it."""
     q = ["qw", "qx", "qy", "qz"]
     m = F.broadcast(means.select("bone", F.struct(*q).alias("m")))
     near = F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(dot([F.col(c) for c in q], [F.col(f"m.{c}") for c in q]))))) <= radius
     live = rows.where("qw is not null").join(m, "bone").withColumn("good", near)
-    w = Window.partitionBy("bone").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("label", "bone").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("good"), F.struct(*q)), ignorenulls=True).over(w)
     live = live.withColumn("to", F.when(F.col("good"), F.struct(*q)).otherwise(F.coalesce(last, F.struct(*q))))
     return live.select("frame_id", "bone", *[F.col(f"to.{c}").alias(c) for c in q], (~F.col("good")).alias("repaired"))

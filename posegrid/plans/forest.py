@@ -103,7 +103,7 @@ def forest_mean(spark, sf_dir):
 
 def argmax_label(spark, sf_dir):
     leaves, pr = _leaf_pr(spark, sf_dir)
-    return leaves.join(F.broadcast(pr), ["tree", "node"]).where("tree = 0").select("vec_id", "label", evaluate.argmax_label(F.col("pr")).alias("pred"))
+    return leaves.join(F.broadcast(pr), ["tree", "node"]).select("vec_id", "tree", "label", evaluate.argmax_label(F.col("pr")).alias("pred"))
 
 
 def _pixel_truth(spark, sf_dir):
@@ -157,7 +157,7 @@ def prob_remap(spark, sf_dir):
 
 
 def validate_label_map(spark, sf_dir):
-    m = table(spark, sf_dir, "part").where("p_size < 5").select(F.expr("cast(p_partkey * 7 % 300 as int)").alias("input"), "p_brand")
+    m = table(spark, sf_dir, "part").select(F.expr("cast(p_partkey * 7 % 300 as int)").alias("input"), "p_brand")
     return evaluate.label_map_faults(m)
 
 
@@ -256,7 +256,7 @@ ORACLES = {
     "train_tree_d3": _GROWN + " SELECT k.node, b.c, b.t, CAST(sum(k.k) OVER (PARTITION BY k.node) AS BIGINT) AS n, b.c IS NULL AS is_leaf, k.label, round(k.k * 1e0 / sum(k.k) OVER (PARTITION BY k.node), 6) AS p FROM counts k LEFT JOIN best b ON b.node = k.node",
     "tree_walk": _walk_sql() + f" SELECT vec_id, tree, node{DEPTH} AS node FROM w{DEPTH}",
     "forest_mean": _walk_sql() + _LEAF_PR + " SELECT vec_id, pr.label, round(avg(p), 6) AS p FROM leaves JOIN pr USING (tree, node) GROUP BY vec_id, pr.label",
-    "argmax_label": _walk_sql() + _LEAF_PR + ", top AS (SELECT tree, node, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY p DESC, label) AS k FROM pr) x WHERE k = 1) SELECT vec_id, label, pred FROM leaves JOIN top USING (tree, node) WHERE tree = 0",
+    "argmax_label": _walk_sql() + _LEAF_PR + ", top AS (SELECT tree, node, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY p DESC, label) AS k FROM pr) x WHERE k = 1) SELECT vec_id, tree, label, pred FROM leaves JOIN top USING (tree, node)",
     "confusion_matrix": with_views(_TRUTH + " SELECT truth, pred, count(*) AS n FROM px GROUP BY truth, pred", "patch"),
     "image_accuracy": with_views(_TRUTH + " SELECT frame_id, round(accuracy, 6) AS accuracy, n_labels FROM acc0", "patch"),
     "accuracy_summary": with_views(_TRUTH + " SELECT round(avg(accuracy), 6) AS average, round((SELECT accuracy FROM (SELECT accuracy, row_number() OVER (ORDER BY accuracy, frame_id) - 1 AS k, count(*) OVER () AS n FROM acc) x WHERE k = n // 2), 6) AS median, round(min(accuracy), 6) AS worst, round(max(accuracy), 6) AS best FROM acc", "patch"),
@@ -264,7 +264,7 @@ ORACLES = {
     "low_accuracy_index": with_views(_TRUTH + " SELECT frame_id FROM acc WHERE accuracy < 5e-1", "patch"),
     "label_remap": _MAP + " SELECT mapped AS label, count(*) AS n FROM embeddings e JOIN m ON m.input = e.label GROUP BY mapped",
     "prob_remap": _MAP + ", p AS (SELECT c_nationkey AS k, c_custkey % 10 AS label, count(*) * 1e0 / sum(count(*)) OVER (PARTITION BY c_nationkey) AS p FROM customer GROUP BY 1, 2) SELECT k, mapped AS label, round(sum(p), 6) AS p FROM p JOIN m ON m.input = p.label GROUP BY k, mapped",
-    "validate_label_map": "SELECT CAST(p_partkey * 7 % 300 AS INT) AS input, count(*) AS n_uses, (p_partkey * 7 % 300 < 0 OR p_partkey * 7 % 300 > 255) AS out_of_range FROM part WHERE p_size < 5 GROUP BY 1, 3 HAVING count(*) > 1 OR out_of_range",
+    "validate_label_map": "SELECT CAST(p_partkey * 7 % 300 AS INT) AS input, count(*) AS n_uses, (p_partkey * 7 % 300 < 0 OR p_partkey * 7 % 300 > 255) AS out_of_range FROM part GROUP BY 1, 3 HAVING count(*) > 1 OR out_of_range",
     "rank_results": """WITH r AS (SELECT l_suppkey, round(avg(l_quantity), 4) AS mean_quantity, round(max(l_discount), 4) AS best_discount, CAST(count(*) AS DOUBLE) AS n_lines FROM lineitem GROUP BY 1),
         l AS (SELECT l_suppkey, 'mean_quantity' AS metric, mean_quantity AS score FROM r UNION ALL SELECT l_suppkey, 'best_discount', best_discount FROM r UNION ALL SELECT l_suppkey, 'n_lines', n_lines FROM r)
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY metric ORDER BY score DESC, l_suppkey) AS INT) AS place FROM l) x WHERE place <= 5""",

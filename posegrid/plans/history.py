@@ -50,7 +50,7 @@ def frame_diff_filter(spark, sf_dir):
 
 def asof_bracket_lerp(spark, sf_dir):
     frames = _frames(spark, sf_dir)
-    asked = table(spark, sf_dir, "orders").where("o_custkey % 150 < 100").select((F.col("o_custkey") % 150).alias("key"), F.col("o_orderkey").alias("request_id"), (F.lit(1704067200000000) + F.col("o_orderkey") * 7919 % 2505600 * 1000000).alias("us"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("request_id"), (F.lit(1704067200000000) + F.col("o_orderkey") * 7919 % 2505600 * 1000000).alias("us"))
     return history.bracketed(asked, frames.groupBy("key", "us").agg(F.max_by("depth", "event_id").alias("depth"))).select("key", "request_id", "before_us", "after_us", F.round("depth", 6).alias("depth"))
 
 
@@ -108,7 +108,7 @@ ORACLES = {
     "capped_running_mean": _stream(_FOLD + ", c(key, k, mean, n) AS (SELECT key, 1, depth, 1 FROM f WHERE k = 1 UNION ALL SELECT c.key, c.k + 1, (mean * c.n + depth) / (c.n + 1), least(c.n + 1, 50) FROM c JOIN f ON f.key = c.key AND f.k = c.k + 1) SELECT key, CAST(max(k) AS BIGINT) AS n_frames, round(arg_max(mean, k), 6) AS mean FROM c GROUP BY key", True),
     "time_step_sample": _stream(", t(key, us, event_id) AS (SELECT key, us, event_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS k FROM stream) x WHERE k = 1 UNION ALL SELECT key, us, event_id FROM (SELECT s.key, s.us, s.event_id, row_number() OVER (PARTITION BY s.key ORDER BY s.us, s.event_id) AS k FROM t JOIN stream s ON s.key = t.key AND s.us - t.us >= 21600000000) y WHERE k = 1) SELECT key, us, event_id FROM t", True),
     "frame_diff_filter": _stream(_FOLD + ", t(key, k, event_id, depth, kept) AS (SELECT key, 1, event_id, depth, true FROM f WHERE k = 1 UNION ALL SELECT f.key, f.k, f.event_id, CASE WHEN abs(f.depth - t.depth) >= 5e-1 * t.depth THEN f.depth ELSE t.depth END, abs(f.depth - t.depth) >= 5e-1 * t.depth FROM t JOIN f ON f.key = t.key AND f.k = t.k + 1) SELECT key, event_id, round(depth, 6) AS depth FROM t WHERE kept", True),
-    "asof_bracket_lerp": _stream(""", q AS (SELECT o_custkey % 150 AS key, o_orderkey AS request_id, 1704067200000000 + o_orderkey * 7919 % 2505600 * 1000000 AS us FROM orders WHERE o_custkey % 150 < 100),
+    "asof_bracket_lerp": _stream(""", q AS (SELECT o_custkey AS key, o_orderkey AS request_id, 1704067200000000 + o_orderkey * 7919 % 2505600 * 1000000 AS us FROM orders),
         f AS (SELECT key, us, arg_max(depth, event_id) AS depth FROM stream GROUP BY key, us),
         p AS (SELECT q.*, f.us AS before_us, f.depth AS before_depth FROM q ASOF LEFT JOIN f ON q.key = f.key AND q.us >= f.us),
         n AS (SELECT p.*, f.us AS after_us, f.depth AS after_depth FROM p ASOF LEFT JOIN f ON p.key = f.key AND p.us < f.us)

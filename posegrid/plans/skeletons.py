@@ -102,7 +102,7 @@ p AS (SELECT *, lag(ux) OVER w AS px, lag(uy) OVER w AS py, lag(uz) OVER w AS pz
 x AS (SELECT *, uy * pz - uz * py AS ax, uz * px - ux * pz AS ay, ux * py - uy * px AS az, acos(least(1e0, greatest(-1e0, ux * px + uy * py + uz * pz))) AS angle FROM p WHERE px IS NOT NULL
     UNION ALL SELECT *, NULL, NULL, NULL, NULL FROM p WHERE px IS NULL),
 s AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS size FROM x),
-bones AS (SELECT frame_id, bone, valid, length, cos(angle / 2) AS qw, CASE WHEN size > 0 THEN ax / size * sin(angle / 2) WHEN px IS NOT NULL THEN 0e0 END AS qx, CASE WHEN size > 0 THEN ay / size * sin(angle / 2) WHEN px IS NOT NULL THEN 0e0 END AS qy, CASE WHEN size > 0 THEN az / size * sin(angle / 2) WHEN px IS NOT NULL THEN 0e0 END AS qz FROM s)"""
+bones AS (SELECT frame_id, label, bone, valid, length, cos(angle / 2) AS qw, CASE WHEN size > 0 THEN ax / size * sin(angle / 2) WHEN px IS NOT NULL THEN 0e0 END AS qx, CASE WHEN size > 0 THEN ay / size * sin(angle / 2) WHEN px IS NOT NULL THEN 0e0 END AS qy, CASE WHEN size > 0 THEN az / size * sin(angle / 2) WHEN px IS NOT NULL THEN 0e0 END AS qz FROM s)"""
 _MEAN = """, live AS (SELECT * FROM bones WHERE qw IS NOT NULL), f AS (SELECT bone, qw AS fw, qx AS fx, qy AS fy, qz AS fz FROM (SELECT *, row_number() OVER (PARTITION BY bone ORDER BY frame_id) AS k FROM live) a WHERE k = 1),
 g AS (SELECT l.*, CASE WHEN qw * fw + qx * fx + qy * fy + qz * fz < 0 THEN -1 ELSE 1 END AS h FROM live l JOIN f USING (bone)),
 t AS (SELECT bone, sum(h * qw) AS qw, sum(h * qx) AS qx, sum(h * qy) AS qy, sum(h * qz) AS qz, count(*) AS n FROM g GROUP BY bone),
@@ -131,8 +131,8 @@ ORACLES = {
     "quat_mean": _joints(_BONES + _MEAN + " SELECT bone, round(qw, 6) AS qw, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz, n FROM m"),
     "quat_radius": _joints(_BONES + _MEAN + " SELECT l.bone, round(max(degrees(2 * acos(least(1e0, abs(l.qw * m.qw + l.qx * m.qx + l.qy * m.qy + l.qz * m.qz))))), 4) AS radius FROM live l JOIN m USING (bone) GROUP BY l.bone"),
     "skeleton_validation": _joints(_BONES + ", o AS (SELECT frame_id, CASE WHEN NOT valid THEN 0e0 WHEN length < 15e-2 / 11e-1 THEN 15e-2 / 11e-1 - length WHEN length > 25e-2 * 11e-1 THEN length - 25e-2 * 11e-1 ELSE 0e0 END AS o FROM bones) SELECT frame_id, round(sum(o * o), 6) AS violation, CAST(sum(CASE WHEN o > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatched, round(sum(o * o), 6) <= 15e-2 AS ok FROM o GROUP BY frame_id"),
-    "skeleton_diff": _joints(", b AS (SELECT *, lag(frame_id) OVER w AS bf, lag(valid) OVER w AS bv, lag(x) OVER w AS bx, lag(y) OVER w AS \"by\", lag(z) OVER w AS bz FROM joints WINDOW w AS (PARTITION BY joint ORDER BY frame_id)) SELECT frame_id, round(avg(CASE WHEN valid THEN sqrt((x - bx) * (x - bx) + (y - \"by\") * (y - \"by\") + (z - bz) * (z - bz)) ELSE 0e0 END), 6) AS difference, count(*) AS n_joints FROM b WHERE bf IS NOT NULL AND valid = bv GROUP BY frame_id"),
-    "skeleton_reliability": _joints(", r AS (SELECT frame_id, joint, valid, (" + " + ".join(f"coalesce(lag(CAST(valid AS DOUBLE), {k}) OVER w, 0e0) * {g!r}e0" for k, g in enumerate(_WEIGHTS)) + f") / {sum(_WEIGHTS)!r}e0 AS rel FROM joints WINDOW w AS (PARTITION BY joint ORDER BY frame_id)) SELECT frame_id, round(avg(CASE WHEN valid THEN rel ELSE 0e0 END), 6) AS reliability FROM r GROUP BY frame_id"),
+    "skeleton_diff": _joints(", b AS (SELECT *, lag(frame_id) OVER w AS bf, lag(valid) OVER w AS bv, lag(x) OVER w AS bx, lag(y) OVER w AS \"by\", lag(z) OVER w AS bz FROM joints WINDOW w AS (PARTITION BY label, joint ORDER BY frame_id)) SELECT frame_id, round(avg(CASE WHEN valid THEN sqrt((x - bx) * (x - bx) + (y - \"by\") * (y - \"by\") + (z - bz) * (z - bz)) ELSE 0e0 END), 6) AS difference, count(*) AS n_joints FROM b WHERE bf IS NOT NULL AND valid = bv GROUP BY frame_id"),
+    "skeleton_reliability": _joints(", r AS (SELECT frame_id, label, joint, valid, (" + " + ".join(f"coalesce(lag(CAST(valid AS DOUBLE), {k}) OVER w, 0e0) * {g!r}e0" for k, g in enumerate(_WEIGHTS)) + f") / {sum(_WEIGHTS)!r}e0 AS rel FROM joints WINDOW w AS (PARTITION BY label, joint ORDER BY frame_id)) SELECT frame_id, round(avg(CASE WHEN valid THEN rel ELSE 0e0 END), 6) AS reliability FROM r GROUP BY frame_id"),
     "skeleton_resize": _joints(", s AS (SELECT *, x - lag(x) OVER w AS sx, y - lag(y) OVER w AS sy, z - lag(z) OVER w AS sz FROM joints WINDOW w AS (PARTITION BY frame_id ORDER BY joint)), k AS (SELECT *, CASE WHEN sqrt(sx * sx + sy * sy + sz * sz) > 0 THEN (1e-1 + 1e-2 * (joint - 1)) / sqrt(sx * sx + sy * sy + sz * sz) ELSE 0e0 END AS f FROM s), m AS (SELECT frame_id, joint, x, y, z, " + ", ".join(f"sum(coalesce(s{c} * f, 0e0)) OVER w AS m{c}" for c in "xyz") + " FROM k WINDOW w AS (PARTITION BY frame_id ORDER BY joint)), a AS (SELECT frame_id, x - mx AS ox, y - my AS oy, z - mz AS oz FROM m WHERE joint = 3) SELECT frame_id, joint, round(mx + ox, 6) AS x, round(my + oy, 6) AS y, round(mz + oz, 6) AS z FROM m JOIN a USING (frame_id)"),
     "pose_export": "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id HAVING min(CASE WHEN text IS NULL THEN 0 ELSE 1 END) = 1 AND max(turn) + 1 = count(*)",
     "person_assoc": """WITH RECURSIVE p AS (SELECT CAST(s_nationkey AS BIGINT) AS grp, s_suppkey AS person, s_acctbal AS px, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier),

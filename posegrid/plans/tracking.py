@@ -37,9 +37,9 @@ def colour_map(spark, sf_dir):
 
 
 def behaviour_terms(spark, sf_dir):
-    """Mean cosine of a joint's consecutive displacements over its last three, where there are so many."""
-    w = Window.partitionBy("joint").orderBy("frame_id")
-    rows = joints(spark, sf_dir).select("frame_id", "joint", *[(F.col(c) - F.lag(c).over(w)).alias(f"d{c}") for c in "xyz"])
+    """Mean cosine of a person's joint's consecutive displacements over its last three, where there are so many."""
+    w = Window.partitionBy("label", "joint").orderBy("frame_id")
+    rows = joints(spark, sf_dir).select("frame_id", "label", "joint", *[(F.col(c) - F.lag(c).over(w)).alias(f"d{c}") for c in "xyz"])
     a, b = [F.col(f"d{c}") for c in "xyz"], [F.lag(f"d{c}").over(w) for c in "xyz"]
     cosine = g.dot(a, b) / (g.norm(a) * g.norm(b))
     rows = rows.withColumn("cosine", cosine)
@@ -49,7 +49,7 @@ def behaviour_terms(spark, sf_dir):
 
 def kinematic_terms(spark, sf_dir):
     """Likeness of each bone's length to the mean of its lengths so far."""
-    w = Window.partitionBy("bone").orderBy("frame_id")
+    w = Window.partitionBy("label", "bone").orderBy("frame_id")
     rows = skeleton.bones(joints(spark, sf_dir))
     mean = F.avg("length").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("mean", mean).select("frame_id", "bone", F.round(skeleton.kinematic_ratio(F.col("length"), F.col("mean")), 6).alias("kinematic"))
@@ -59,7 +59,7 @@ def bone_length_repair(spark, sf_dir):
     """Lengths out of bounds are replaced by the bone's last valid length."""
     rows = skeleton.bones(joints(spark, sf_dir))
     good = F.col("valid") & F.col("length").between(0.1, 0.3)
-    w = Window.partitionBy("bone").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("label", "bone").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(good, F.col("length")), ignorenulls=True).over(w)
     return rows.select("frame_id", "bone", F.round(F.when(good, F.col("length")).otherwise(F.coalesce(last, F.col("length"))), 6).alias("length"), (~good).alias("repaired"))
 
@@ -93,7 +93,7 @@ def index_to_recording(spark, sf_dir):
 
 def bone_slerp(spark, sf_dir):
     """Rotation of each bone halfway between a frame and the next."""
-    w = Window.partitionBy("bone").orderBy("frame_id")
+    w = Window.partitionBy("label", "bone").orderBy("frame_id")
     q = ["qw", "qx", "qy", "qz"]
     rows = skeleton.bones(joints(spark, sf_dir)).where("qw is not null").select("frame_id", "bone", *q, *[F.lead(c).over(w).alias(f"n{c}") for c in q]).where("nqw is not null")
     half = g.slerp([F.col(c) for c in q], [F.col(f"n{c}") for c in q], F.lit(0.5))
@@ -160,14 +160,14 @@ ORACLES = {
     "gravity_align": with_views(", v AS (SELECT frame_id, x, y - 1 AS y, z FROM joints WHERE joint = 0), c AS (SELECT *, z AS ax, 0e0 AS ay, -x AS az, sqrt(x * x + y * y + z * z) AS n FROM v) SELECT frame_id, round(CASE WHEN sqrt(ax * ax + az * az) > 0 THEN ax / sqrt(ax * ax + az * az) ELSE 0e0 END, 6) AS ax, round(ay, 6) AS ay, round(CASE WHEN sqrt(ax * ax + az * az) > 0 THEN az / sqrt(ax * ax + az * az) ELSE 0e0 END, 6) AS az, round(acos(least(1e0, greatest(-1e0, -y / n))), 6) AS angle FROM c", "joints"),
     "pose_reset": with_views(" SELECT key, event_id, coalesce(abs(depth - lag(depth) OVER (PARTITION BY key ORDER BY us, event_id)) > 3e-1, true) AS reset FROM stream", "stream"),
     "colour_map": with_views(f" SELECT frame_id, i, {_ramp('1e0')} AS r, {_ramp('5e-1')} AS g, {_ramp('0e0')} AS b FROM patch", "patch"),
-    "behaviour_terms": with_views(", d AS (SELECT frame_id, joint, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM joints WINDOW w AS (PARTITION BY joint ORDER BY frame_id)), e AS (SELECT *, lag(dx) OVER w AS px, lag(dy) OVER w AS py, lag(dz) OVER w AS pz FROM d WINDOW w AS (PARTITION BY joint ORDER BY frame_id)), c AS (SELECT frame_id, joint, (dx * px + dy * py + dz * pz) / (sqrt(dx * dx + dy * dy + dz * dz) * sqrt(px * px + py * py + pz * pz)) AS cosine FROM e) SELECT frame_id, joint, CASE WHEN count(cosine) OVER w = 2 THEN round(avg(cosine) OVER w, 6) END AS behaviour FROM c WINDOW w AS (PARTITION BY joint ORDER BY frame_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)", "joints"),
-    "kinematic_terms": with_views(_B + ", m AS (SELECT *, avg(length) OVER (PARTITION BY bone ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM bones) SELECT frame_id, bone, round(least(length, mean) / greatest(length, mean), 6) AS kinematic FROM m", "joints"),
-    "bone_length_repair": with_views(_B + ", k AS (SELECT *, valid AND length BETWEEN 1e-1 AND 3e-1 AS good FROM bones) SELECT frame_id, bone, round(CASE WHEN good THEN length ELSE coalesce(last_value(CASE WHEN good THEN length END IGNORE NULLS) OVER (PARTITION BY bone ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), length) END, 6) AS length, NOT good AS repaired FROM k", "joints"),
+    "behaviour_terms": with_views(", d AS (SELECT frame_id, label, joint, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM joints WINDOW w AS (PARTITION BY label, joint ORDER BY frame_id)), e AS (SELECT *, lag(dx) OVER w AS px, lag(dy) OVER w AS py, lag(dz) OVER w AS pz FROM d WINDOW w AS (PARTITION BY label, joint ORDER BY frame_id)), c AS (SELECT frame_id, label, joint, (dx * px + dy * py + dz * pz) / (sqrt(dx * dx + dy * dy + dz * dz) * sqrt(px * px + py * py + pz * pz)) AS cosine FROM e) SELECT frame_id, joint, CASE WHEN count(cosine) OVER w = 2 THEN round(avg(cosine) OVER w, 6) END AS behaviour FROM c WINDOW w AS (PARTITION BY label, joint ORDER BY frame_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)", "joints"),
+    "kinematic_terms": with_views(_B + ", m AS (SELECT *, avg(length) OVER (PARTITION BY label, bone ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM bones) SELECT frame_id, bone, round(least(length, mean) / greatest(length, mean), 6) AS kinematic FROM m", "joints"),
+    "bone_length_repair": with_views(_B + ", k AS (SELECT *, valid AND length BETWEEN 1e-1 AND 3e-1 AS good FROM bones) SELECT frame_id, bone, round(CASE WHEN good THEN length ELSE coalesce(last_value(CASE WHEN good THEN length END IGNORE NULLS) OVER (PARTITION BY label, bone ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), length) END, 6) AS length, NOT good AS repaired FROM k", "joints"),
     "candidate_people": _clusters._with(_clusters._COMPONENTS + _clusters._CENTRE + " SELECT frame_id, round(sum(confidence), 6) AS confidence, count(*) AS n FROM cen GROUP BY frame_id ORDER BY confidence DESC, frame_id LIMIT 10"),
     "forest_mean_flip": _flip_sql(),
     "index_to_recording": "SELECT source, doc_id, CAST(k AS INT) AS frame_no, k * 1000000000 // 120 AS timestamp FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents) x",
-    "bone_slerp": with_views(_B + f", q AS (SELECT frame_id, bone, {', '.join(_Q)}, {', '.join(f'lead({c}) OVER w AS n{c}' for c in _Q)} FROM bones WHERE qw IS NOT NULL WINDOW w AS (PARTITION BY bone ORDER BY frame_id)), a AS (SELECT *, {_DOT} AS d, acos(least(1e0, abs({_DOT}))) AS angle FROM q WHERE nqw IS NOT NULL), half AS (SELECT *, CASE WHEN sin(angle) < 1e-6 THEN 5e-1 ELSE sin(5e-1 * angle) / sin(angle) END AS s, CASE WHEN d < 0 THEN -1e0 ELSE 1e0 END AS h FROM a) SELECT frame_id, bone, {', '.join(f'round({c} * s + n{c} * s * h, 6) AS {c}' for c in _Q)} FROM half", "joints"),
-    "bone_rotation_repair": with_views(_B + _skeletons._MEAN + f", k AS (SELECT l.frame_id, l.bone, {', '.join('l.' + c for c in _Q)}, degrees(2 * acos(least(1e0, abs({' + '.join(f'l.{c} * m.{c}' for c in _Q)})))) <= 90 AS good FROM live l JOIN m USING (bone)) SELECT frame_id, bone, {', '.join(f'round(CASE WHEN good THEN {c} ELSE coalesce(last_value(CASE WHEN good THEN {c} END IGNORE NULLS) OVER w, {c}) END, 6) AS {c}' for c in _Q)}, NOT good AS repaired FROM k WINDOW w AS (PARTITION BY bone ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "joints"),
+    "bone_slerp": with_views(_B + f", q AS (SELECT frame_id, label, bone, {', '.join(_Q)}, {', '.join(f'lead({c}) OVER w AS n{c}' for c in _Q)} FROM bones WHERE qw IS NOT NULL WINDOW w AS (PARTITION BY label, bone ORDER BY frame_id)), a AS (SELECT *, {_DOT} AS d, acos(least(1e0, abs({_DOT}))) AS angle FROM q WHERE nqw IS NOT NULL), half AS (SELECT *, CASE WHEN sin(angle) < 1e-6 THEN 5e-1 ELSE sin(5e-1 * angle) / sin(angle) END AS s, CASE WHEN d < 0 THEN -1e0 ELSE 1e0 END AS h FROM a) SELECT frame_id, bone, {', '.join(f'round({c} * s + n{c} * s * h, 6) AS {c}' for c in _Q)} FROM half", "joints"),
+    "bone_rotation_repair": with_views(_B + _skeletons._MEAN + f", k AS (SELECT l.frame_id, l.label, l.bone, {', '.join('l.' + c for c in _Q)}, degrees(2 * acos(least(1e0, abs({' + '.join(f'l.{c} * m.{c}' for c in _Q)})))) <= 90 AS good FROM live l JOIN m USING (bone)) SELECT frame_id, bone, {', '.join(f'round(CASE WHEN good THEN {c} ELSE coalesce(last_value(CASE WHEN good THEN {c} END IGNORE NULLS) OVER w, {c}) END, 6) AS {c}' for c in _Q)}, NOT good AS repaired FROM k WINDOW w AS (PARTITION BY label, bone ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "joints"),
     "skeleton_refine": with_views(" SELECT frame_id, joint, CAST(CASE WHEN round(abs(y), 9) > round(abs(x), 9) THEN 2 ELSE 1 END AS INT) AS place, round(CASE WHEN round(abs(y), 9) > round(abs(x), 9) THEN abs(y) ELSE abs(x) END, 6) AS reliability FROM joints", "joints"),
     "previous_joint_search": with_views(", c AS (SELECT frame_id, i, greatest(abs(x - frame_id % 8), abs(y - frame_id // 8 % 8)) AS ring FROM patch WHERE body) SELECT frame_id, CAST(ring AS INT) AS ring, i FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY ring, i) AS k FROM c WHERE ring <= 4) x WHERE k = 1", "patch"),
     "training_history": "SELECT user_id AS key, string_agg(DISTINCT event_type, ',' ORDER BY event_type) || ',run' AS history FROM events GROUP BY user_id",

@@ -44,7 +44,7 @@ def frame_bones(spark: SparkSession, top: str, index: DataFrame) -> DataFrame:
     schema = "bones array<struct<name:string,head:array<double>,tail:array<double>>>"
     files = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{top}/labels")
     at = F.regexp_extract(F.input_file_name(), r"/labels/(.*)\.json$", 1)
-    return files.withColumn("path", at).join(F.broadcast(index), "path").select("frame_id", F.explode("bones").alias("b")).select("frame_id", "b.*")
+    return files.withColumn("path", at).join(index, "path").select("frame_id", F.explode("bones").alias("b")).select("frame_id", "b.*")
 
 
 def frame_joints(bones: DataFrame, joint_map: DataFrame) -> DataFrame:
@@ -52,7 +52,9 @@ def frame_joints(bones: DataFrame, joint_map: DataFrame) -> DataFrame:
     n = joint_map.count()
     ends = bones.select("frame_id", "name", F.explode(F.map_from_arrays(F.array(F.lit("head"), F.lit("tail")), F.array("head", "tail"))).alias("end", "p"))
     named = joint_map.select("joint_id", F.substring_index("joint", ".", 1).alias("name"), F.substring_index("joint", ".", -1).alias("end"))
-    rows = ends.join(F.broadcast(named), ["name", "end"]).select("frame_id", "joint_id", *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate("xyz")])
+    frames = bones.select("frame_id").distinct()
+    found = ends.join(F.broadcast(named), ["name", "end"])  # a row a joint
+    rows = frames.join(found, "frame_id", "left").select("frame_id", "joint_id", *[F.get("p", F.lit(k)).alias(c) for k, c in enumerate("xyz")])
     whole = F.count("*").over(Window.partitionBy("frame_id"))
     return rows.withColumn("n", whole).withColumn("x", F.when(F.col("n") == n, F.col("x")).otherwise(F.raise_error(F.lit("a frame lacks a joint")).cast("double"))).drop("n")
 
@@ -108,7 +110,7 @@ def label_images(spark: SparkSession, top: str, index: DataFrame) -> DataFrame:
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(f"{top}/labels")
     at = F.regexp_extract("path", r"/labels/(.*)\.png$", 1)
-    rows = files.select(at.alias("path"), "content").join(F.broadcast(index), "path").select("frame_id", "content")
+    rows = files.select(at.alias("path"), "content").join(index, "path").select("frame_id", "content")
 
     def decode(batches):
         for batch in batches:
