@@ -13,9 +13,9 @@ def argmax_label(pr: Column) -> Column:
 
 def mean_leaves(leaves: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of the label distributions (column pr, array) that the trees of a forest reached."""
-    n = leaves.select(*keys, F.posexplode("pr").alias("label", "p"))
-    by = n.groupBy(*keys, "label").agg(F.avg("p").alias("p"))
-    return by.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda x: x["p"]).alias("pr"))
+    of_trees = leaves.groupBy(*keys).agg(F.collect_list("pr").alias("prs"))  # an array a tree
+    sums = lambda i: F.aggregate("prs", F.lit(0.0), lambda total, pr: total + F.get(pr, i))
+    return of_trees.select(*keys, F.transform(F.get("prs", F.lit(0)), lambda _, i: sums(i) / F.size("prs")).alias("pr"))
 
 
 def remap(rows: DataFrame, label_map: DataFrame, column: str = "label") -> DataFrame:
@@ -47,14 +47,18 @@ def image_accuracy(rows: DataFrame) -> DataFrame:
 
 
 def accuracy_summary(images: DataFrame) -> DataFrame:
-    """average, median (the upper one), worst, best. The median is the value at rank n div 2 of the exact order."""
-    n = images.count()
-    order = F.row_number().over(Window.partitionBy("b").orderBy("accuracy", "frame_id"))
-    counts = images.withColumn("b", F.floor(F.col("accuracy") * 1000)).groupBy("b").agg(F.count("*").alias("k"))
-    before = counts.withColumn("base", F.sum("k").over(Window.orderBy("b")) - F.col("k"))  # at most 1001 buckets
-    ranked = images.withColumn("b", F.floor(F.col("accuracy") * 1000)).withColumn("place", order).join(F.broadcast(before), "b")
-    median = ranked.where(F.col("base") + F.col("place") - 1 == n // 2).select(F.col("accuracy").alias("median"))
-    return images.agg(F.avg("accuracy").alias("average"), F.min("accuracy").alias("worst"), F.max("accuracy").alias("best")).crossJoin(F.broadcast(median)).select("average", "median", "worst", "best")
+    """average, median (the upper one), worst, best. The median is the value at rank n div 2 of the exact order.
+
+    Images are counted by value first, so that equal accuracies are one row; ranks then come from counts by bucket.
+    """
+    values = images.groupBy("accuracy").agg(F.count("*").alias("k")).withColumn("b", F.floor(F.col("accuracy") * 1000))
+    upto = F.sum("k").over(Window.orderBy("b"))  # at most 1001 buckets
+    buckets = values.groupBy("b").agg(F.sum("k").alias("k")).select("b", (upto - F.col("k")).alias("base"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    ranked = values.withColumn("upto", F.sum("k").over(Window.partitionBy("b").orderBy("accuracy"))).join(F.broadcast(buckets), "b")
+    first = F.col("base") + F.col("upto") - F.col("k")
+    median = ranked.where((first <= F.expr("n div 2")) & (F.expr("n div 2") < first + F.col("k"))).select(F.col("accuracy").alias("median"))
+    whole = values.agg((F.sum(F.col("accuracy") * F.col("k")) / F.sum("k")).alias("average"), F.min("accuracy").alias("worst"), F.max("accuracy").alias("best"))
+    return whole.crossJoin(F.broadcast(median)).select("average", "median", "worst", "best")
 
 
 def accuracy_histogram(images: DataFrame, buckets: int = 50) -> DataFrame:

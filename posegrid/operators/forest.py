@@ -138,16 +138,38 @@ def train_tree(samples: DataFrame, uv: list[tuple[int, int]], thresholds: list[f
     return out
 
 
-def walk(samples: DataFrame, nodes: DataFrame, uv: list[tuple[int, int]], thresholds: list[float], depth: int) -> DataFrame:
-    """Leaf of each sample in each tree by one broadcast lookup a level; ``nodes``: tree, node, c, t (null: leaf)."""
-    rows = samples.crossJoin(F.broadcast(nodes.select("tree").distinct())).withColumn("node", F.lit(0).cast("long"))
-    for _ in range(depth):
-        inner = F.broadcast(nodes.where("c is not null").select("tree", "node", "c", "t"))
-        at = lambda ks: F.array(*[F.lit(k) for k in ks])
-        value = F.get("embedding", F.get(at([a for a, _ in uv]), F.col("c"))).cast("double") - F.get("embedding", F.get(at([b for _, b in uv]), F.col("c"))).cast("double")
-        child = F.when(value < F.get(at([float(t) for t in thresholds]), F.col("t")), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)
-        rows = rows.join(inner, ["tree", "node"], "left").withColumn("node", F.when(F.col("c").isNull(), F.col("node")).otherwise(child)).drop("c", "t")
-    return rows
+def walk(samples: DataFrame, nodes: DataFrame, uv: list[tuple[int, int]], thresholds: list[float], depth: int, vector: str = "embedding") -> DataFrame:
+    """Leaf of each sample in each tree: the columns of ``samples`` but the vector, tree and node.
+
+    ``nodes`` (tree, node, c, t; null: leaf) is a model of at most trees * 2^depth rows. Its splits are broadcast as
+    arrays, and each batch of samples goes down all levels of all trees in numpy: one pass, no shuffle, no join.
+    """
+    spark = samples.sparkSession
+    ship(spark)
+    model: dict[int, list[tuple]] = {}
+    for tree, node, c, t in nodes.select("tree", "node", "c", "t").orderBy("tree", "node").collect():
+        model.setdefault(tree, []).extend([] if c is None else [(node, c, t)])
+    u, v, cuts = np.asarray([a for a, _ in uv]), np.asarray([b for _, b in uv]), np.asarray(thresholds, float)
+    own = spark.sparkContext.broadcast({k: tuple(np.asarray([s[i] for s in splits], np.int64) for i in range(3)) for k, splits in model.items()})
+    kept = [c for c in samples.columns if c != vector]
+    schema = samples.select(*kept, F.lit(0).alias("tree"), F.lit(0).cast("long").alias("node")).schema
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            e = batch.column(len(kept)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+            row = np.arange(n)
+            for tree, (ids, c, t) in own.value.items():
+                node = np.zeros(n, np.int64)
+                for _ in range(depth if len(ids) else 0):
+                    at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+                    left = e[row, u[c[at]]] - e[row, v[c[at]]] < cuts[t[at]]
+                    node = np.where(ids[at] == node, 2 * node + np.where(left, 1, 2), node)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.full(n, tree, np.int32)), pa.array(node)], names=[*kept, "tree", "node"])
+
+    return samples.select(*kept, vector).mapInArrow(run, schema)
 
 
 def in_batch(node: Column, divider: int, number: int) -> Column:

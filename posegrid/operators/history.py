@@ -33,6 +33,14 @@ def velocity_outliers(frames: DataFrame, n: int = 12, factor: float = 2.0, least
     return rows.withColumn("mean_speed", mean).withColumn("outlier", F.coalesce((F.col("speed") > least) & (F.col("speed") > factor * F.col("mean_speed")), F.lit(False)))
 
 
+def steadied(frames: DataFrame, n: int = 12, factor: float = 2.0, least: float = 1.5) -> DataFrame:
+    """Depth with velocity outliers replaced: the depth before, moved on by the last displacement that was none."""
+    w = _by_key()
+    rows = velocity_outliers(frames, n, factor, least).withColumns({"before": F.lag("depth").over(w), "moved": F.col("depth") - F.lag("depth").over(w)})
+    last = F.last(F.when(~F.col("outlier"), F.col("moved")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("steady", F.when(F.col("outlier"), F.col("before") + F.coalesce(last, F.lit(0.0))).otherwise(F.col("depth")))
+
+
 def last_valid(frames: DataFrame, valid: Column) -> DataFrame:
     """Depth, with invalid frames taking the last valid depth before them."""
     return frames.withColumn("filled", F.last(F.when(valid, F.col("depth")), ignorenulls=True).over(_by_key().rowsBetween(Window.unboundedPreceding, 0)))

@@ -15,6 +15,12 @@ def joint_scores(probabilities: DataFrame, joint_labels: DataFrame) -> DataFrame
     return rows.groupBy("frame_id", "i", "joint").agg((F.sum("p") * F.max("depth") * F.max("depth")).alias("weight"))
 
 
+def joint_pixels(probabilities: DataFrame, joint_labels: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Pixels that count for a joint: those where any of its labels (two at most) reaches the joint's threshold."""
+    rows = probabilities.join(F.broadcast(joint_labels), "label").join(F.broadcast(thresholds), "joint")
+    return rows.where(F.col("p") >= F.col("threshold")).groupBy("frame_id", "i", "joint").agg(F.max("p").alias("p"))
+
+
 def bones(joints: DataFrame) -> DataFrame:
     """Bones between each joint and the next: length, direction, and rotation from the bone before (w, x, y, z)."""
     w = Window.partitionBy("frame_id").orderBy("joint")

@@ -24,6 +24,10 @@ def velocity_outlier(spark, sf_dir):
     return rows.select("key", "event_id", F.round("speed", 6).alias("speed"), F.round("mean_speed", 6).alias("mean_speed"), "outlier")
 
 
+def velocity_replace(spark, sf_dir):
+    return history.steadied(_frames(spark, sf_dir)).select("key", "event_id", F.round("steady", 6).alias("steady"), "outlier")
+
+
 def last_valid_fill(spark, sf_dir):
     return history.last_valid(_frames(spark, sf_dir), F.col("kind") != "error").select("key", "event_id", F.round("filled", 6).alias("filled"))
 
@@ -102,6 +106,12 @@ ORACLES = {
     "velocity_outlier": _stream(""", s AS (SELECT key, event_id, us, CASE WHEN us > lag(us) OVER w THEN abs(depth - lag(depth) OVER w) / ((us - lag(us) OVER w) / 1e6) * 1000 END AS speed FROM stream WINDOW w AS (PARTITION BY key ORDER BY us, event_id)),
         m AS (SELECT *, avg(speed) OVER (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS mean_speed FROM s)
         SELECT key, event_id, round(speed, 6) AS speed, round(mean_speed, 6) AS mean_speed, coalesce(speed > 15e-1 AND speed > 2e0 * mean_speed, false) AS outlier FROM m"""),
+    "velocity_replace": _stream(""", s AS (SELECT key, event_id, us, depth, depth - lag(depth) OVER w AS moved, lag(depth) OVER w AS bd,
+        CASE WHEN us > lag(us) OVER w THEN abs(depth - lag(depth) OVER w) / ((us - lag(us) OVER w) / 1e6) * 1000 END AS speed FROM stream WINDOW w AS (PARTITION BY key ORDER BY us, event_id)),
+        m AS (SELECT *, avg(speed) OVER (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS mean_speed FROM s),
+        o AS (SELECT *, coalesce(speed > 15e-1 AND speed > 2e0 * mean_speed, false) AS outlier FROM m)
+        SELECT key, event_id, outlier, round(CASE WHEN outlier THEN bd + coalesce(last_value(CASE WHEN NOT outlier THEN moved END IGNORE NULLS)
+            OVER (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) ELSE depth END, 6) AS steady FROM o"""),
     "last_valid_fill": _stream(" SELECT key, event_id, round(last_value(CASE WHEN kind <> 'error' THEN depth END IGNORE NULLS) OVER (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS filled FROM stream"),
     "consecutive_runs": _stream(_FOLD + ", g AS (SELECT key, k - row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS island FROM f WHERE kind = 'view'), r AS (SELECT key, island, count(*) AS len FROM g GROUP BY 1, 2) SELECT key, count(*) AS n_runs, max(len) AS longest, CAST(sum(len) AS BIGINT) AS n_frames FROM r GROUP BY key"),
     "expire_and_topk": _stream(", b AS (SELECT key, min(us) AS first_us, max(us) AS last_us, round(sum(depth), 6) AS confidence FROM stream GROUP BY key) SELECT * FROM b WHERE (SELECT max(last_us) FROM b) - last_us <= 86400000000 ORDER BY confidence DESC, key LIMIT 4"),
@@ -122,4 +132,4 @@ ORACLES = {
     "replay_clock": _stream(", d AS (SELECT key, event_id, us - lag(us) OVER (PARTITION BY key ORDER BY event_id) AS d FROM stream) SELECT key, event_id, coalesce(d < 0, false) AS \"break\", CAST(sum(coalesce(CASE WHEN d < 0 THEN 16000 ELSE d END, 0)) OVER (PARTITION BY key ORDER BY event_id) AS BIGINT) AS clock FROM d"),
 }
 
-QUERIES = {f.__name__: f for f in (bounded_history, velocity_outlier, last_valid_fill, consecutive_runs, expire_and_topk, capped_running_mean, time_step_sample, frame_diff_filter, asof_bracket_lerp, decayed_timestamp, combine_latest, stage_durations, codebook_background, codebook_classify, nearest_codeword, replay_clock)}
+QUERIES = {f.__name__: f for f in (bounded_history, velocity_outlier, velocity_replace, last_valid_fill, consecutive_runs, expire_and_topk, capped_running_mean, time_step_sample, frame_diff_filter, asof_bracket_lerp, decayed_timestamp, combine_latest, stage_durations, codebook_background, codebook_classify, nearest_codeword, replay_clock)}

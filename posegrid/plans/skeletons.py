@@ -12,9 +12,19 @@ JOINT_LABELS = [(0, 0), (0, 1), (1, 2), (2, 3)]
 GRID = [(0, 0.0), (1, 0.02), (2, 0.05)]
 
 
-def joint_weights(spark, sf_dir):
+def _probabilities(spark, sf_dir):
     v = F.col("value")
-    rows = pixels(spark, sf_dir).select("frame_id", "i", "depth", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), (1 / (1 + (v * 10 - k) * (v * 10 - k))).alias("p")) for k in range(4)])).alias("q")).select("frame_id", "i", "depth", "q.*")
+    return pixels(spark, sf_dir).select("frame_id", "i", "depth", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), (1 / (1 + (v * 10 - k) * (v * 10 - k))).alias("p")) for k in range(4)])).alias("q")).select("frame_id", "i", "depth", "q.*")
+
+
+def joint_pixels(spark, sf_dir):
+    limits = literal_table(spark, [(0, 0.75), (1, 0.5), (2, 0.25)], "joint int, threshold double")
+    found = skeleton.joint_pixels(_probabilities(spark, sf_dir), literal_table(spark, JOINT_LABELS, "joint int, label int"), limits)
+    return found.select("frame_id", "i", "joint", F.round("p", 6).alias("p"))
+
+
+def joint_weights(spark, sf_dir):
+    rows = _probabilities(spark, sf_dir)
     return skeleton.joint_scores(rows, literal_table(spark, JOINT_LABELS, "joint int, label int")).select("frame_id", "i", "joint", F.round("weight", 6).alias("weight"))
 
 
@@ -125,6 +135,9 @@ def _joints(sql: str) -> str:
 
 
 ORACLES = {
+    "joint_pixels": with_views(""", q AS (SELECT frame_id, i, CAST(k AS INT) AS label, 1 / (1 + (value * 10 - k) * (value * 10 - k)) AS p FROM patch, range(4) r(k)),
+        j AS (SELECT * FROM (VALUES (0, 0, 75e-2), (0, 1, 75e-2), (1, 2, 5e-1), (2, 3, 25e-2)) v(joint, label, threshold))
+        SELECT frame_id, i, joint, round(max(p), 6) AS p FROM q JOIN j USING (label) WHERE p >= threshold GROUP BY frame_id, i, joint""", "patch"),
     "joint_weights": with_views(", q AS (SELECT frame_id, i, depth, CAST(k AS INT) AS label, 1 / (1 + (value * 10 - k) * (value * 10 - k)) AS p FROM patch, range(4) r(k)), j AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 2), (2, 3)) v(joint, label)) SELECT frame_id, i, joint, round(sum(p) * max(depth) * max(depth), 6) AS weight FROM q JOIN j USING (label) GROUP BY frame_id, i, joint", "patch"),
     "bone_geometry": _joints(_BONES + " SELECT frame_id, bone, valid, round(length, 6) AS length, round(qw, 6) AS qw, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz FROM bones"),
     "bone_lengths": _joints(_BONES + " SELECT bone, round(min(length), 6) AS min_length, round(avg(length), 6) AS mean_length, round(max(length), 6) AS max_length, count(*) AS n FROM bones WHERE valid GROUP BY bone"),
@@ -145,4 +158,4 @@ ORACLES = {
     "joint_benchmark": _joints(" SELECT joint, round(avg(CASE WHEN valid THEN least(sqrt(1e-2 * 1e-2 + (2e-2 * joint) * (2e-2 * joint)), 1e1) ELSE 1e1 END), 6) AS mean_distance, round(avg(CASE WHEN valid THEN 1e0 ELSE 0e0 END), 6) AS track_rate FROM joints GROUP BY joint"),
 }
 
-QUERIES = {f.__name__: f for f in (joint_weights, bone_geometry, bone_lengths, quat_mean, quat_radius, skeleton_validation, skeleton_diff, skeleton_reliability, skeleton_resize, pose_export, complete_skeletons, person_assoc, mean_shift_step, mean_shift_5, param_grid_best, joint_benchmark)}
+QUERIES = {f.__name__: f for f in (joint_pixels, joint_weights, bone_geometry, bone_lengths, quat_mean, quat_radius, skeleton_validation, skeleton_diff, skeleton_reliability, skeleton_resize, pose_export, complete_skeletons, person_assoc, mean_shift_step, mean_shift_5, param_grid_best, joint_benchmark)}
