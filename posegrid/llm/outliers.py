@@ -5,8 +5,8 @@ each language and all rows. For each, concentration steps from several starts ke
 rows and take their mean and covariance anew, until the determinant falls no more; the start of least determinant
 stays. Rows tied at the edge of the h nearest share the places left there, so a block of alike rows below half of a
 group cannot enter whole. A source's estimate is then drawn towards its language's, and that towards all rows', by
-the weights n and PRIOR_ROWS: small groups are measured mostly by what they belong to, with no step at any size. A
-row is rejected if its squared Mahalanobis distance is beyond the chi-square quantile that a clean row exceeds with
+the weights h - d - 1 (the degrees of freedom of h rows; none if that is negative) and PRIOR_ROWS: small groups are
+measured mostly by what they belong to, with no step at any size. A row is rejected if its squared Mahalanobis distance is beyond the chi-square quantile that a clean row exceeds with
 probability ``miss``. Sums are of integers, so the result does not depend on their order; every aggregate combines on
 the map side, so a hot group costs no more than another.
 
@@ -126,8 +126,9 @@ LOG_DET = " + ".join(f"2e0 * ln(c{j}{j})" for j in range(D))
 
 def shrunk() -> list[str]:
     """m and v of a source (own), drawn towards its language's (lang), which is drawn towards all rows' (whole)."""
-    lang = lambda x: f"((lang.n * lang.{x} + {PRIOR_ROWS} * whole.{x}) / (lang.n + {PRIOR_ROWS}))"
-    return [f"(own.n * own.{x} + {PRIOR_ROWS} * {lang(x)}) / (own.n + {PRIOR_ROWS}) AS {x}" for x in (*(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in LOWER))]
+    own, of_lang = (f"greatest(0e0, least({k}.n, floor(({k}.n + {D + 1}) / 2e0)) - {D + 1})" for k in ("own", "lang"))  # h - d - 1
+    lang = lambda x: f"(({of_lang} * lang.{x} + {PRIOR_ROWS} * whole.{x}) / ({of_lang} + {PRIOR_ROWS}))"
+    return [f"({own} * own.{x} + {PRIOR_ROWS} * {lang(x)}) / ({own} + {PRIOR_ROWS}) AS {x}" for x in (*(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in LOWER))]
 
 
 def distance_stages() -> list[list[str]]:
