@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import discard, settle
 
 SPACES = r"[\x20\x09-\x0D]"
+#: A-Z and the capitals of Latin-1, one by one: Java tests a class of single Latin-1 characters by a bit set, ranges one after another.
+CAPITALS = "".join(chr(c) for c in (*range(0x41, 0x5B), *range(0xC0, 0xDF)) if c != 0xD7)
 #: ln(chars per word), and ln(1 + 100 x) of symbols, marks and capitals per char, repeated words and dup lines per word or line.
 VECTOR = (
     "ln(word_chars * 1e0 / n_words)",
@@ -64,18 +66,22 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word = F.filter(F.split("text", SPACES + "+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     rows = rows.select("own", "doc_id", "lang", "source", "text", word.alias("words"), lines.alias("lines"))
-    # A window is known by a hash of its words' hashes; sorted (hash, place) pairs put equal windows side by side.
+    # A window is known by a hash of its words' hashes. Only texts that repeat one sort (hash, place) pairs, which puts
+    # equal windows side by side.
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    windows = F.array_sort(F.transform(F.slice("hashes", 1, F.greatest(F.size("hashes") - 2, F.lit(0))), lambda h, i: F.struct(F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)).alias("h"), i.alias("i"))))
-    rows = rows.withColumn("windows", windows)
+    starts = F.slice("hashes", 1, F.greatest(F.size("hashes") - 2, F.lit(0)))
+    rows = rows.withColumn("windows", F.transform(starts, lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2))))
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    placed = F.transform(F.when(repeats, F.col("windows")).otherwise(F.array().cast("array<bigint>")), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    rows = rows.withColumn("windows", F.sort_array(placed))
     again = F.filter("windows", lambda x, i: (F.get("windows", i - 1)["h"] == x["h"]) | (F.get("windows", i + 1)["h"] == x["h"]))
-    rows = rows.withColumn("spots", F.array_sort(F.transform(again, lambda x: x["i"])))
+    rows = rows.withColumn("spots", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.aggregate(F.transform("spots", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("spots", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     count = lambda what: F.length(F.regexp_replace("text", f"[^{what}]+", "")).cast("long")
     return rows.select(
         "own", "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), count("#*$%&|<>").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
-        count("!?.,;:").alias("n_marks"), count("A-ZÀ-ÖØ-Þ").alias("n_capitals"), F.size("lines").cast("long").alias("n_lines"),
+        count("!?.,;:").alias("n_marks"), count(CAPITALS).alias("n_capitals"), F.size("lines").cast("long").alias("n_lines"),
     )
 
 
