@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -61,8 +62,24 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Steps between two calls of ``tidy``.
+TIDY_EVERY = 8
+_STEPS = [0]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage on the driver. Spark's cleaner drops the shuffles and broadcasts of finished steps, here and on
+    the executors, only once the JVM has collected their handles, which by itself it does on a full heap or every half hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage of an iteration and survives lost executors."""
+    _STEPS[0] += 1
+    if _STEPS[0] % TIDY_EVERY == 0:
+        tidy(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
