@@ -127,9 +127,15 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("string"), F.lit("")).alias("key_id"), F.xxhash64(text).alias("key_text")]
 
 
-def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _grows(df: DataFrame) -> DataFrame:
+    """A side that grows with the documents: sort-merge at every size, as no estimate may make it a broadcast."""
+    return df.hint("merge")
+
+
+def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, grows: bool = False) -> DataFrame:
     """(node, text) of the ``wanted`` nodes, found once and written, so that no later join moves other texts."""
     keys = settle(nodes.select("node", "rep.*").join(wanted.distinct(), "node"), "wanted")
+    keys = _grows(keys) if grows else keys
     found = rows.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(keys, ["key_id", "key_text"])
     return settle(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
@@ -156,14 +162,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = settle(banded.join(shared, "bucket"), "buckets")
+    crowded = settle(banded.join(_grows(shared), "bucket"), "buckets")
     degree = crowded.groupBy("node").agg(F.sum("n").alias("degree"))
-    hubs = crowded.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("hub")).select("bucket", (-F.col("hub.node")).alias("hub"))
-    pairs = settle(crowded.join(hubs, "bucket").where("node != hub").select("hub", "node").distinct(), "pairs")
+    hubs = crowded.join(_grows(degree), "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("hub")).select("bucket", (-F.col("hub.node")).alias("hub"))
+    pairs = settle(crowded.join(_grows(hubs), "bucket").where("node != hub").select("hub", "node").distinct(), "pairs")
 
     least = least_matches(num, den, BATCH, BANDS * ROWS, miss)
     signed = nodes.select("node", "signature")
-    tested = pairs.join(signed, "node").join(signed.select(F.col("node").alias("hub"), F.col("signature").alias("other")), "hub")
+    tested = pairs.join(_grows(signed), "node").join(_grows(signed.select(F.col("node").alias("hub"), F.col("signature").alias("other"))), "hub")
 
     def prune(batches):
         for batch in batches:
@@ -172,7 +178,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 yield batch.select(["hub", "node"]).filter(pa.array(hit))
 
     survivors = settle(tested.select("hub", "node", "signature", "other").mapInArrow(prune, "hub long, node long"), "survivors")
-    wanted = _texts(rows, nodes, survivors.select(F.explode(F.array("hub", "node")).alias("node")))
+    wanted = _texts(rows, nodes, survivors.select(F.explode(F.array("hub", "node")).alias("node")), grows=True)
 
     def confirm(batches):
         kept: tuple = (None, None)
@@ -186,7 +192,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 good.append(similar(own[at[i] : at[i + 1]], kept[1], num, den))
             yield part.select(["hub", "node"]).filter(pa.array(good, pa.bool_()))
 
-    texts = survivors.join(_text_of(wanted, "node", "text"), "node").join(_text_of(wanted, "hub", "other"), "hub").select("hub", "node", "text", "other")
+    texts = survivors.join(_grows(_text_of(wanted, "node", "text")), "node").join(_grows(_text_of(wanted, "hub", "other")), "hub").select("hub", "node", "text", "other")
     links = settle(texts.mapInArrow(confirm, "hub long, node long"), "links")
     rest = settle(_rest_links(rows, nodes, pairs, connected_components(links, "hub", "node"), signed, least, words, num, den, block), "rest-links")
     found = connected_components(links.union(rest), "hub", "node")
@@ -201,7 +207,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     narrow = sketches.select("own", "doc_id", *keys)
     empty = narrow.where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("leads"))
     filled = narrow.where("n_shingles > 0")
-    joined = filled.join(few, keys).unionByName(filled.join(few.select(*keys), keys, "left_anti").join(placed, keys, "left")).unionByName(empty)
+    joined = filled.join(few, keys).unionByName(filled.join(few.select(*keys), keys, "left_anti").join(_grows(placed), keys, "left")).unionByName(empty)
     stays = F.when(F.col("component").isNull(), True).when(F.col("doc_id").isNull(), F.col("component_id").isNull() & F.col("leads")).otherwise(F.col("component_id") == F.col("doc_id"))
     names = [f"own.{x}" for x in sketches.select("own.*").columns[1:]]
     return joined.select(*names, "doc_id", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"), stays.alias("kept"))
