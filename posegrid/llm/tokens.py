@@ -13,7 +13,7 @@ import pyarrow as pa
 from .common import SPACE, text_bytes
 
 #: Pieces kept by a worker (about 100 MB at most), and the longest kept, in characters.
-CACHE_PIECES, LONGEST_KEPT, JOINED = 900_000, 64, 64
+CACHE_PIECES, LONGEST_KEPT, JOINED = 300_000, 64, 64
 _WHITE = "\\x00-\\x20\\x7f-\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD = re.compile(f" ?[^{_WHITE}]+")
 _ASCII = np.arange(256)
