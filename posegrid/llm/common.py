@@ -8,17 +8,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from ..session import discard, settle, shared_dir, ship
 
-__all__ = ["discard", "new_path", "settle", "shared_dir", "ship", "table"]
+__all__ = ["discard", "new_path", "settle", "settle_and_watch", "shared_dir", "ship", "table"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settle_and_watch(df: DataFrame, name: str, **watch: Column) -> tuple[DataFrame, dict]:
+    """``settle``, and aggregates of the rows written, from the same job. Only the writing tasks that succeed count."""
+    seen = Observation()
+    back = settle(df.observe(seen, *[x.alias(k) for k, x in watch.items()]), name)
+    return back, seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

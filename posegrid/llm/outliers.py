@@ -22,7 +22,7 @@ from math import exp, factorial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import discard, settle, settle_and_watch
 
 SPACES = r"[\x20\x09-\x0D]"
 #: A-Z and the capitals of Latin-1, one by one: Java tests a class of single Latin-1 characters by a bit set, ranges one after another.
@@ -177,12 +177,15 @@ def estimate(rows: DataFrame) -> DataFrame:
     levels = ", ".join(level(x) for x in start_distances())
     near = rows.join(middle.join(spread, "g"), "g").selectExpr("g", *Z, f"posexplode(array({levels})) AS (start, q)")
     model = settle(_refit(near).withColumn("moved", F.lit(True)), "model")
-    while model.where("moved").limit(1).count():
+    moves = True
+    while moves:
         last, moving = model, model.where("moved").select("g", "start", *[f"fit.{x}" for x in FIT if x[0] != "v"])
         near = _staged(rows.join(moving, "g"), distance_stages()).selectExpr("g", "start", *Z, f"{level('d2')} AS q")
         better = F.coalesce(F.col("new.log_det") < F.col("fit.log_det") - STABLE, F.lit(False))
         model = model.drop("moved").join(_refit(near).withColumnRenamed("fit", "new"), ["g", "start"], "left")
-        model = settle(model.select("g", "start", F.when(better, F.col("new")).otherwise(F.col("fit")).alias("fit"), better.alias("moved")), "model")
+        model = model.select("g", "start", F.when(better, F.col("new")).otherwise(F.col("fit")).alias("fit"), better.alias("moved"))
+        model, seen = settle_and_watch(model, "model", moves=F.max("moved"))
+        moves = seen["moves"]
         discard(last)
     best = model.groupBy("g").agg(F.min_by("fit", F.struct("fit.log_det", "start")).alias("fit"))
     return settle(best.join(middle.select("g", "n"), "g").select("g", "n", *[f"fit.{x}" for x in FIT if x[0] != "c"]), "estimates")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import discard, settle, settle_and_watch
 
 TOLERANCE, TEMPER, BUDGET, SEED = 1e-9, 0.7, 0.8, 23
 KEYS = ("source", "lang", "topic")
@@ -60,8 +60,9 @@ def rake(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, te
             now = swept.groupBy(key).agg(F.sum(F.col("tokens") * F.col("raked")).alias("now")).join(goal, key)
             ratio = now.select(key, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("ratio"))
             swept = swept.join(ratio, key).select(*keys, "tokens", (F.col("raked") * F.col("ratio")).alias("raked"), F.greatest("error", F.abs(F.col("ratio") - 1)).alias("error"))
-        last, cells = cells, settle(swept, "cells")
-        error, before = cells.agg(F.max("error")).first()[0] or 0.0, error
+        last, before = cells, error
+        cells, seen = settle_and_watch(swept, "cells", error=F.max("error"))
+        error = seen["error"] or 0.0
         discard(last)
     c, before = budget, 0.0
     while c > before * (1 + 1e-12):
