@@ -63,7 +63,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 #: Steps between two calls of ``tidy``.
-TIDY_EVERY = 8
+TIDY_EVERY = 3
 _STEPS = [0]
 
 
