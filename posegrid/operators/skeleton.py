@@ -210,10 +210,12 @@ def refined(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("frame_id", "joint").agg(F.max_by(F.struct("place", "reliability"), F.struct(F.round("reliability", 9), -F.col("place"))).alias("b")).select("frame_id", "joint", "b.*")
 
 
-def ring_search(seeds: DataFrame, pixels: DataFrame, rings: int) -> DataFrame:
-    """The body pixel nearest to each seed (frame_id, sx, sy): by square ring, then in scan order."""
-    offsets = [(max(abs(dx), abs(dy)), dx, dy) for dy in range(-rings, rings + 1) for dx in range(-rings, rings + 1)]
-    table = F.array(*[F.struct(F.lit(r).alias("ring"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for r, dx, dy in sorted(offsets)])
-    spots = seeds.select("frame_id", "sx", "sy", F.explode(table).alias("o")).select("frame_id", "sx", "sy", "o.ring", (F.col("sx") + F.col("o.dx")).alias("x"), (F.col("sy") + F.col("o.dy")).alias("y"))
-    found = spots.join(pixels.where("body").select("frame_id", "x", "y", "i"), ["frame_id", "x", "y"])
-    return found.groupBy("frame_id").agg(F.min_by(F.struct("ring", "i"), F.struct("ring", "i")).alias("b")).select("frame_id", "b.*")
+def ring_search(pixels: DataFrame, rings: int) -> DataFrame:
+    """The body pixel nearest to its frame's seed (sx, sy, on each of the frame's pixels): by square ring, then in scan order.
+
+    No join: pixels meet their seed in their own row, and a frame's pixels combine before the shuffle, which moves a row
+    a frame. A table of seeds is to be joined to whole frames, before they become pixels.
+    """
+    ring = F.greatest(F.abs(F.col("x") - F.col("sx")), F.abs(F.col("y") - F.col("sy"))).cast("int")
+    found = pixels.where("body").select("frame_id", ring.alias("ring"), "i").where(F.col("ring") <= rings)
+    return found.groupBy("frame_id").agg(F.min(F.struct("ring", "i")).alias("b")).select("frame_id", "b.*")

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -152,6 +153,29 @@ def test_association_is_greedy_in_order(spark):
     assert {(r["person"], r["skeleton"]) for r in skeleton.associate(a, b, 0.5).collect()} == {(1, 7), (2, 8)}
 
 
+def test_rings_are_searched_without_a_join(spark):
+    """A join could broadcast one side: pixels or places of all frames, on the driver."""
+    rng = np.random.default_rng(4)
+    rows = [(f, i, i % 8, i // 8, f % 8, f // 8 % 8, bool(rng.random() < 0.03)) for f in range(80) for i in range(64)]
+    df = spark.createDataFrame(rows, "frame_id long, i int, x int, y int, sx long, sy long, body boolean")
+    found = skeleton.ring_search(df, 2)
+    want = {}
+    for f, i, x, y, sx, sy, body in rows:
+        if body and (ring := max(abs(x - sx), abs(y - sy))) <= 2:
+            want[f] = min(want.get(f, (9, 0)), (ring, i))
+    assert {r["frame_id"]: (r["ring"], r["i"]) for r in found.collect()} == want and 0 < len(want) < 80
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_previous_joint_search_broadcasts_nothing(spark):
+    from posegrid.plans import catalogue
+
+    plan = catalogue.queries()["previous_joint_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
 TREE = {"depth": 2, "n_labels": 2, "vertical_fov": 0.5, "bg_label": 0, "bg_depth": 32.0, "root": {"t": 0.25, "u": [1.0, 0.0], "v": [0.0, -0.5], "l": {"p": [0.25, 0.75]}, "r": {}}}
 
 
