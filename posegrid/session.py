@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
@@ -73,6 +74,26 @@ def tidy(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Give the driver's freed native memory back to the system, as ``jcmd PID System.trim_native_heap`` does.
+
+    The C library keeps what the JVM's compiler threads free in arenas of their own. False where the JVM has no such command.
+    """
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # The server's own class is not open to reflection, its interface is.
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = new(jvm.java.lang.Object, 4)
+    args[0], args[1], args[2], args[3] = named, "systemTrimNativeHeap", new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+    try:
+        call.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:

@@ -176,6 +176,15 @@ def test_previous_joint_search_broadcasts_nothing(spark):
     assert "Join" not in plan and "Broadcast" not in plan
 
 
+def test_tidy_gives_native_memory_back(spark, monkeypatch):
+    from posegrid import session
+
+    real, said = session.trim, []
+    monkeypatch.setattr(session, "trim", lambda s: said.append(real(s)))
+    session.tidy(spark)
+    assert said == [True]
+
+
 TREE = {"depth": 2, "n_labels": 2, "vertical_fov": 0.5, "bg_label": 0, "bg_depth": 32.0, "root": {"t": 0.25, "u": [1.0, 0.0], "v": [0.0, -0.5], "l": {"p": [0.25, 0.75]}, "r": {}}}
 
 
